@@ -59,10 +59,10 @@ def summary_table(results: DataFrame) -> DataFrame:
     s = cluster_statistics(results)
     return s.select(F.explode(F.array(
         F.struct(F.lit(1).alias("ord"), F.lit("Total Records").alias("metric"), F.col("total_records").cast("string").alias("value")),
-        F.struct(F.lit(2), F.lit("Unique Clusters"), F.col("unique_clusters").cast("string")),
-        F.struct(F.lit(3), F.lit("Duplicates Found"), F.col("duplicates_found").cast("string")),
-        F.struct(F.lit(4), F.lit("Duplication Rate"), F.format_string("%.2f%%", F.col("duplication_rate") * 100)),
-        F.struct(F.lit(5), F.lit("Largest Cluster"), F.coalesce(F.col("largest_cluster_size"), F.lit(0)).cast("string")),
+        F.struct(F.lit(2).alias("ord"), F.lit("Unique Clusters").alias("metric"), F.col("unique_clusters").cast("string").alias("value")),
+        F.struct(F.lit(3).alias("ord"), F.lit("Duplicates Found").alias("metric"), F.col("duplicates_found").cast("string").alias("value")),
+        F.struct(F.lit(4).alias("ord"), F.lit("Duplication Rate").alias("metric"), F.format_string("%.2f%%", F.col("duplication_rate") * 100).alias("value")),
+        F.struct(F.lit(5).alias("ord"), F.lit("Largest Cluster").alias("metric"), F.coalesce(F.col("largest_cluster_size"), F.lit(0)).cast("string").alias("value")),
     )).alias("r")).select("r.ord", "r.metric", "r.value")
 
 
