@@ -80,17 +80,21 @@ def to_model(df: DataFrame) -> DataFrame:
 
 
 def validate_rows(df: DataFrame) -> DataFrame:
-    """Model fields plus ``errors array<string>`` (empty = valid row)."""
+    """Model fields plus ``errors array<string>`` (empty = valid row).
+
+    The renamed / null-cleaned fields are projected once; the rules then read
+    those columns by name, so each field expression is evaluated once per row
+    instead of once per rule.
+    """
     model = model_columns(df)
     keep = [F.col(c) for c in ("unique_id",) if c in df.columns]
-    present = {f: c for f, c in model.items()}
-    cols = keep + [
+    projected = df.select(*keep, *[
         (c if c is not None else F.lit(None).cast("string")).alias(f) for f, c in model.items()
-    ]
-    cols.append(V.row_errors(present).alias("errors"))
+    ])
+    present = {f: (None if c is None else F.col(f)) for f, c in model.items()}
+    checked = projected.withColumn("errors", V.row_errors(present))
     # enum defaults apply only when the column is absent
-    projected = df.select(*cols)
-    return projected.withColumns({
+    return checked.withColumns({
         field: V.enum_value(None if model[field] is None else F.col(field), default)
         for field, (_allowed, default) in V.ENUMS.items()
     })
@@ -108,7 +112,6 @@ def batch_check(df: DataFrame) -> DataFrame:
     Required columns come from ``df.columns`` at plan time; the counts are one
     aggregate over the scan.
     """
-    spark = df.sparkSession
     missing = sorted(set(BATCH_REQUIRED_COLUMNS) - set(df.columns))
     msgs = []
     if missing:
@@ -120,15 +123,13 @@ def batch_check(df: DataFrame) -> DataFrame:
     else:
         aggs.append(F.lit(0).cast("bigint").alias("bad_npi"))
     counts = df.agg(*aggs)
-    rows = counts.select(
+    return counts.select(
         F.explode(F.filter(F.array(
             *msgs,
             F.when(F.col("n") == 0, F.lit("Input data is empty")),
             F.when(F.col("bad_npi") > 0, F.format_string("Found %d invalid NPI values", F.col("bad_npi"))),
         ), lambda m: m.isNotNull())).alias("message")
     )
-    del spark
-    return rows
 
 
 def assert_batch_ok(df: DataFrame) -> None:
