@@ -388,6 +388,12 @@ def q_n6_normalize(spark, d):
         "rid", "unique_id")
 
 
+def q_n7_number_words(spark, d):
+    r = raw(spark, d)
+    return r.select(F.col("rid").alias("unique_id"), N.normalize_address(F.col("address1"), number_words=True)
+                    .alias("address1_norm"))
+
+
 def q_n8_phone_length(spark, d):
     p = prepared(spark, d)
     return p.select("unique_id", (F.length("phone") >= 10).alias("long_phone"))
@@ -432,6 +438,7 @@ VALIDATION = {
     "n4_postal": (_norm_q({"zipcode": "postal_code"}), _norm_sql({"zipcode": "postal_code"})),
     "n5_state": (_norm_q({"state": "state"}), _norm_sql({"state": "state"})),
     "n6_normalize": (q_n6_normalize, _norm_sql(NORM_ALL)),
+    "n7_number_words": (q_n7_number_words, _norm_sql({"address1": "address"})),
     "n8_phone_length": (q_n8_phone_length, O.with_ctes(select="SELECT unique_id, length(phone) >= 10 AS long_phone "
                                                               "FROM prepared")),
 }
@@ -635,6 +642,17 @@ def q_c1_predict(spark, d):
     return s.select(*PAIR_KEYS, _r6("match_weight"), _r6("match_probability"))
 
 
+def q_c3_tf_adjust(spark, d):
+    """Exact-model scores with a term-frequency adjustment on family name."""
+    rec = prepared(spark, d)
+    comps = [Comparison(c.column, "exact", term_frequency=(c.column == "family_name")) for c in EXACT_COMPS]
+    model = exact_model(rec)
+    model = Model(comps, model.m, model.u, model.prior)
+    pairs = candidate_pairs(profile_table(rec, FUZZY_COLS), FUZZY, [c.column for c in comps])
+    g = attach_term_frequencies(compare(pairs, comps, keep_values=True), rec, ["family_name"])
+    return score(g, model, ["family_name"]).select(*PAIR_KEYS, _r6("match_weight"))
+
+
 def q_p17_threshold(spark, d):
     s = scored_exact(spark, d)
     return s.where(F.col("match_probability") >= SCORE_THRESHOLD).select("rep_id_l", "rep_id_r")
@@ -729,7 +747,7 @@ SCORING = {
     "c1_predict": (q_c1_predict, O.with_ctes(*_scored_sql(), select=(
         "SELECT rep_id_l, rep_id_r, pair_count, match_key, round(match_weight, 6) AS match_weight, "
         "round(match_probability, 6) AS match_probability FROM scored"))),
-    "c3_tf_adjust": None,
+    "c3_tf_adjust": (q_c3_tf_adjust, None),
     "p17_threshold": (q_p17_threshold, O.with_ctes(*_scored_sql(), select=(
         f"SELECT rep_id_l, rep_id_r FROM scored WHERE match_probability >= {SCORE_THRESHOLD}"))),
     "c2_clusters": (q_c2_clusters, _with_recursive(_clusters_sql(), "SELECT rep_id, cluster_rep, "
@@ -786,7 +804,6 @@ SCORING = {
     "c9_train": (q_c9_train, None),
     "a18_em": (q_a18_em, None),
 }
-del SCORING["c3_tf_adjust"]
 
 # ---------------------------------------------------------------------------
 # data quality

@@ -51,3 +51,20 @@ def test_idempotent(spark):
     once = df.select(normalize_field("v", "name").alias("v"))
     twice = once.select(normalize_field("v", "name").alias("w"), "v")
     assert all(r["v"] == r["w"] for r in twice.collect())
+
+
+def test_number_words():
+    from linkwise.functions.numbers import convert
+
+    assert convert("three hundred main street") == "300 main street"
+    assert convert("twenty three oak") == "23 oak"
+    assert convert("one two") == "1 2"
+    assert convert("two thousand five hundred") == "2500"
+    assert convert("main street") == "main street"
+
+
+def test_number_words_in_address(spark):
+    from linkwise.functions.normalize import normalize_address
+
+    df = spark.createDataFrame([("Twenty Three N Main St",)], "v string")
+    assert df.select(normalize_address("v", number_words=True)).first()[0] == "23 north main street"
