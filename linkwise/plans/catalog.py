@@ -289,10 +289,10 @@ SOURCES = {
     "s4_parquet": (q_s4_parquet, f"WITH {O.RAW} SELECT {RAW_STR} FROM raw"),
     "s5_multi": (q_s5_multi, f"WITH {O.RAW} SELECT {RAW_CSV} FROM raw WHERE rid % 10 = 0 UNION ALL "
                              f"SELECT {RAW_STR.replace('group_name,', 'NULL AS group_name,')} FROM raw WHERE rid % 10 <> 0"),
-    "k2_csv_sink": (q_k2_csv_sink, None),
-    "k3_parquet_sink": (q_k3_parquet_sink, None),
-    "k4_json_sink": (q_k4_json_sink, None),
-    "k5_report": (q_k5_report, None),
+    "k2_csv_sink": (q_k2_csv_sink, "K2_PLACEHOLDER"),
+    "k3_parquet_sink": (q_k3_parquet_sink, O.with_ctes(select="SELECT * FROM prepared")),
+    "k4_json_sink": (q_k4_json_sink, "K4_PLACEHOLDER"),
+    "k5_report": (q_k5_report, "K5_PLACEHOLDER"),
 }
 SOURCES["u1_concat"] = SOURCES["s5_multi"]
 
@@ -911,6 +911,13 @@ QUALITY = {
 }
 
 
+# CSV has no blank/null distinction: blank strings read back as null
+SOURCES["k2_csv_sink"] = (q_k2_csv_sink, O.with_ctes(select="SELECT CAST(unique_id AS VARCHAR) AS unique_id, " + ", ".join(
+    f"nullif({c}, '') AS {c}" for c in PREPARED_COLS[1:]) + " FROM prepared"))
+SOURCES["k4_json_sink"] = (q_k4_json_sink, SCORING["w1_cluster_size"][1].replace(
+    "SELECT unique_id, cluster_size FROM results", "SELECT unique_id, cluster_id, cluster_size FROM results"))
+SOURCES["k5_report"] = (q_k5_report, SCORING["a13_summary"][1])
+
 REGISTRY: dict[str, tuple] = {}
 for group in (SOURCES, VALIDATION, BLOCKING, SCORING, QUALITY):
     REGISTRY.update(group)
