@@ -248,8 +248,9 @@ def q_s4_parquet(spark, d):
 def q_s5_multi(spark, d):
     base = work_path(spark, "s5")
     r = raw(spark, d)
-    r.where("rid % 10 = 0").write.option("header", True).csv(base + "/a.csv")
-    r.where("rid % 10 <> 0").drop("group_name").write.parquet(base + "/b.parquet")
+    # two files with different columns: solo providers as CSV, group members as Parquet without group_name
+    r.where("gnpi IS NULL").write.option("header", True).csv(base + "/a.csv")
+    r.where("gnpi IS NOT NULL").drop("group_name").write.parquet(base + "/b.parquet")
     return load_multiple(spark, [base + "/a.csv", base + "/b.parquet"])
 
 
@@ -287,8 +288,9 @@ SOURCES = {
                            "lastname, middlename, npi, phone, phone_status, primary_spec_desc, "
                            "CAST(rid AS VARCHAR) AS rid, state, zipcode FROM raw"),
     "s4_parquet": (q_s4_parquet, f"WITH {O.RAW} SELECT {RAW_STR} FROM raw"),
-    "s5_multi": (q_s5_multi, f"WITH {O.RAW} SELECT {RAW_CSV} FROM raw WHERE rid % 10 = 0 UNION ALL "
-                             f"SELECT {RAW_STR.replace('group_name,', 'NULL AS group_name,')} FROM raw WHERE rid % 10 <> 0"),
+    "s5_multi": (q_s5_multi, f"WITH {O.RAW} SELECT {RAW_CSV} FROM raw WHERE gnpi IS NULL UNION ALL "
+                             f"SELECT {RAW_STR.replace('group_name,', 'NULL AS group_name,')} FROM raw "
+                             f"WHERE gnpi IS NOT NULL"),
     "k2_csv_sink": (q_k2_csv_sink, "K2_PLACEHOLDER"),
     "k3_parquet_sink": (q_k3_parquet_sink, O.with_ctes(select="SELECT * FROM prepared")),
     "k4_json_sink": (q_k4_json_sink, "K4_PLACEHOLDER"),
