@@ -93,6 +93,8 @@ GAMMA_COMPS = [
 ]
 JW_COMP = Comparison("street_address", "jaro_winkler")
 SCORE_THRESHOLD = 0.95
+PRIMARY_FIELDS = ["npi", "group_npi", "group_name", "given_name", "middle_name", "family_name", "street_address",
+                  "city", "state", "postal_code", "phone", "specialty"]
 SAMPLE_PAIRS = 50_000
 
 
@@ -761,7 +763,11 @@ SCORING = {
                                                      "round(match_probability, 6) AS match_probability FROM results")),
     "w1_cluster_size": (lambda s, d: _res(s, d).select("unique_id", "cluster_size"),
                         _res_select("SELECT unique_id, cluster_size FROM results")),
-    "w2_primary": (q_w2_primary, None),
+    "w2_primary": (q_w2_primary, _res_select(
+        "SELECT cluster_id, unique_id FROM (SELECT cluster_id, unique_id, row_number() OVER (PARTITION BY cluster_id "
+        "ORDER BY (" + " + ".join(f"(CASE WHEN coalesce({c}, '') <> '' THEN 1 ELSE 0 END)" for c in PRIMARY_FIELDS)
+        + ") DESC, ((CASE WHEN address_status = 'verified' THEN 1 ELSE 0 END) + (CASE WHEN phone_status = "
+        "'verified' THEN 1 ELSE 0 END)) DESC, unique_id) AS rn FROM results) WHERE rn = 1")),
     "w3_match_probability": (lambda s, d: _res(s, d).select("unique_id", _r6("match_probability")),
                              _res_select("SELECT unique_id, round(match_probability, 6) AS match_probability "
                                          "FROM results")),
@@ -796,7 +802,11 @@ SCORING = {
                             _res_select("SELECT 'clusters_by_size' AS category, CAST(cluster_size AS VARCHAR) AS "
                                         "metric, CAST(count(*) AS VARCHAR) AS value FROM (SELECT cluster_id, count(*) "
                                         "AS cluster_size FROM results GROUP BY cluster_id) GROUP BY cluster_size")),
-    "a15_histogram": (lambda s, d: S.size_histogram(_res(s, d)).select("bin", "n_clusters"), None),
+    "a15_histogram": (lambda s, d: S.size_histogram(_res(s, d)).select("bin", "n_clusters"), _res_select(
+        "SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((cluster_size - lo) / ((hi - lo) / 20.0)) + 1, 20) "
+        "END AS INT) AS bin, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS cluster_size FROM results "
+        "GROUP BY cluster_id), (SELECT min(c) AS lo, max(c) AS hi FROM (SELECT count(*) AS c FROM results GROUP BY "
+        "cluster_id)) GROUP BY 1")),
     "t2_sample": (lambda s, d: S.sample_clusters(_res(s, d)).select("cluster_id", "npi", "given_name", "family_name",
                                                                     "cluster_size"),
                   _res_select("SELECT cluster_id, npi, given_name, family_name, cluster_size FROM results WHERE "
