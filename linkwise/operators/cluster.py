@@ -38,12 +38,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
-    """Every leaf has one edge and no centre is a leaf."""
-    multi = edges.groupBy("u").count().where(F.col("count") > 1).limit(1).count()
-    if multi:
-        return False
-    centre_as_leaf = edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
-    return centre_as_leaf == 0
+    """Every leaf has one edge and no centre is a leaf (one job)."""
+    deg = edges.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
+    multi = deg.where(F.col("d") > 1).select("u")
+    centre_as_leaf = edges.select(F.col("v").alias("u")).join(deg, "u", "left_semi")
+    return multi.unionByName(centre_as_leaf).limit(1).count() == 0
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",

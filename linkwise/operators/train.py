@@ -61,6 +61,8 @@ def random_pairs(records: DataFrame, columns: list[str], max_pairs: int,
     Records are kept by a hash of ``unique_id`` and paired within hash buckets:
     an equi-join whose buckets are small by construction (no hot key, no
     cross join); the same ids give the same sample on every run and retry.
+    When all pairs fit the budget there is one bucket, whose work is bounded
+    by ``max_pairs``.
     """
     n = n_records if n_records is not None else records.count()
     fraction, buckets = sampling_plan(n, max_pairs)
