@@ -45,17 +45,16 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return multi.unionByName(centre_as_leaf).limit(1).count() == 0
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst",
-                         max_rounds: int = 64) -> DataFrame:
-    """(node, component) for every node on an edge; component = smallest node."""
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) for every node on an edge; component = smallest node.
+
+    Rounds go on until the edges are stars; each round brings every node closer
+    to its component's smallest one, so the loop ends for any chain length.
+    """
     ensure_checkpoint_dir(edges.sparkSession)
     e = _normalize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))).checkpoint(eager=True)
-    for _ in range(max_rounds):
-        if _is_star_forest(e):
-            break
+    while not _is_star_forest(e):
         e = _small_star(_large_star(e)).checkpoint(eager=True)
-    else:
-        raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return leaves.unionByName(centres)

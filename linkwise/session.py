@@ -1,14 +1,16 @@
-"""Session helpers: a local session for tests/bench and the shared work folder.
+"""Session helpers: local session, shared work folder, written intermediates.
 
-Lineage is cut by writing tables under ``spark.checkpoint.dir`` (a folder every
-executor can reach on a cluster). The setting is read from the session; a local
-folder is set only when the session has none, as in tests.
+Lineage is cut by writing tables under ``spark.checkpoint.dir``, a folder every
+executor can reach. The setting is read from the session. Where it is unset, a
+local master (one machine: tests, bench) gets a folder of its own; on any other
+master the work stops with an error, since executors would write to disks that
+nobody else can read.
 """
 
 from __future__ import annotations
 
+import gc
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "linkwise") -> SparkSession:
-    spark = (
+def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "linkwise",
+                  checkpoint_dir: str | None = None) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -29,20 +32,26 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config(CHECKPOINT_CONF, checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set to a fresh local one only if unset."""
-    current = spark.conf.get(CHECKPOINT_CONF, None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared work folder of the session.
+
+    Unset on a local master: a folder under ``/tmp`` named after the application. Unset elsewhere: ``RuntimeError``.
+    """
+    current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="linkwise-ckpt-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(
+                f"{CHECKPOINT_CONF} is not set: name a folder that the driver and all executors share")
+        current = f"/tmp/linkwise-{spark.sparkContext.applicationId}"
         spark.conf.set(CHECKPOINT_CONF, current)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(current)
@@ -50,13 +59,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder."""
+    """A fresh path under the shared work folder."""
     root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, "linkwise", f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{root.rstrip('/')}/linkwise/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it back.
+    """Write ``df`` as Parquet under the work folder and read it back.
 
     A reliable, lineage-free copy: a lost executor re-reads files instead of
     recomputing the plan, and the scan keeps column pruning and pushdown.
@@ -64,4 +73,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table written by ``materialize`` through Spark's own file system layer."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's context cleaner remove the shuffle files of finished plans.
+
+    Spark drops shuffle files once the driver no longer references the plan that
+    made them; asking for a collection after a table is written frees the disk
+    of the finished phase before the next one starts.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def ship_package(spark: SparkSession, folder: str | None = None) -> str:
+    """Send this package to executors that do not have it on their path.
+
+    UDFs are pickled by reference to their module, so every worker must be able
+    to import ``linkwise``. Returns the zip file given to ``addPyFile``.
+    """
+    import shutil
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(folder or "/tmp", f"linkwise-{spark.sparkContext.applicationId}-package")
+    path = shutil.make_archive(base, "zip", root_dir=root, base_dir="linkwise")
+    spark.sparkContext.addPyFile(path)
+    return path
