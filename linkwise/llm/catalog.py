@@ -11,8 +11,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import simhash
-from linkwise.llm.common import out_id, table
+from linkwise.llm import decontaminate, simhash, toxicity
+from linkwise.llm.common import crc_fold, out_id, table
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        out_id(), (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"),
+        F.array_join(F.array_sort(F.transform("matches", lambda m: m["item"])).cast("array<string>"), ",").alias("items"),
+        F.coalesce(F.array_min(F.transform("matches", lambda m: m["edits"])), F.lit(-1)).alias("least_edits"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.passages(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return found.select(out_id(), (crc_fold(out_id()) == 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +38,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_decontamination": op7_decontamination,
+        "op8_toxicity": op8_toxicity,
         "op10_simhash": op10_simhash,
     }
 
