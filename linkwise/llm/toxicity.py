@@ -8,7 +8,8 @@ Learning (labelled rows outside the held-out fold only):
 * Token log-odds with an informative Dirichlet prior (Monroe, Colaresi and Quinn
   2008): the prior of a token is its pooled share times a tenth of all tokens; a
   token is kept if its z-score is beyond ``MIN_Z`` and at least ``MIN_DOCS``
-  documents hold it. Tokens are words and their prefixes of 3 to 8 letters, so
+  distinct texts hold it; counts are distinct texts, so neither copies nor a word
+  repeated in one text count twice. Tokens are words and their prefixes of 3 to 8 letters, so
   inflections of a known stem score too: a word takes the log-odds of whichever of
   its tokens has the largest z-score; without evidence it gets a small negative score.
 * Extreme-value calibration (Karlin and Altschul 1990): the best segment score of
@@ -126,24 +127,20 @@ def labelled_sample(labels: DataFrame, sample_rows: int = SAMPLE_ROWS, held_out:
 
 
 def token_counts(labelled: DataFrame) -> DataFrame:
-    """(feature, docs, toxic, clean): documents that hold it, occurrences by class."""
+    """(feature, toxic, clean): distinct texts of each class that hold it."""
 
     def run(batch: pa.RecordBatch):
-        docs, counts = Counter(), (Counter(), Counter())
+        counts = (Counter(), Counter())
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            held = Counter()
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                for f in features(word):
-                    held[f] += n
-            docs.update(held.keys())
-            counts[1 if toxic else 0].update(held)
-        names = list(docs)
-        columns = [[c[x] for x in names] for c in (docs, counts[1], counts[0])]
+            counts[1 if toxic else 0].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+        names = list(counts[0].keys() | counts[1].keys())
+        columns = [[c[x] for x in names] for c in (counts[1], counts[0])]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())] + [pa.array(c, pa.int64()) for c in columns],
-                                         ["feature", "docs", "toxic", "clean"])
+                                         ["feature", "toxic", "clean"])
 
-    parts = map_rows(labelled.select("text", "toxic"), run, "feature string, docs long, toxic long, clean long")
-    return parts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")])
+    once = labelled.dropDuplicates(["text", "toxic"]).select("text", "toxic")
+    parts = map_rows(once, run, "feature string, toxic long, clean long")
+    return parts.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def log_odds(counts: DataFrame) -> DataFrame:
@@ -156,7 +153,7 @@ def log_odds(counts: DataFrame) -> DataFrame:
     prior, all_prior = (F.col("toxic") + F.col("clean")) * F.lit(PRIOR_SHARE), PRIOR_SHARE * (nt + nc)
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(t / (F.lit(nt + all_prior) - t)) - F.log(c / (F.lit(nc + all_prior) - c))
-    scored = counts.where(F.col("docs") >= MIN_DOCS).select(
+    scored = counts.where(F.col("toxic") + F.col("clean") >= MIN_DOCS).select(
         "feature", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
     return scored.where(F.abs("z") >= MIN_Z)
 
