@@ -6,9 +6,10 @@ lower-cased runs of letters and digits.
 
 1. Seeds. An alignment with e edits of n words leaves a run of at least
    ceil((n - e) / (e + 1)) unedited words, so a window without any such run of the
-   item (runs of up to 3 words are used) cannot match: skipping it loses nothing.
-   Each seed names an item and a diagonal, and with it item-sized windows starting
-   up to e words before and after.
+   item (runs of q = 3 words are used, shorter ones for very short items) cannot
+   match, and by the q-gram lemma it shares at least n - q + 1 - q e runs with the
+   item, on diagonals at most 2 e apart: skipping other windows loses nothing. Dense
+   diagonals name the item-sized windows that go on.
 2. CGK embedding (Chakraborty, Goldenberg and Koucky 2016). A random walk reads a
    sequence of n words into 3n places; at each place a random bit, drawn from
    (repetition, place, word), decides whether the walk moves on. Sequences within few edits get
@@ -103,6 +104,7 @@ class Index:
         self.similarity, self.repeats = similarity, repetitions(recall)
         self.ids: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
+        self.need: list[int] = []
         seeds: dict[int, dict[tuple, list]] = defaultdict(lambda: defaultdict(list))
         for key, text in items:
             words = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in WORD.findall((text or "").lower())],
@@ -114,6 +116,7 @@ class Index:
             size = min(SEED_WORDS, math.ceil((n - e) / (e + 1)))
             at = len(self.items)
             self.items.append((key, words))
+            self.need.append(max(1, n - size + 1 - size * e))
             for j in range(n - size + 1):
                 seeds[size][tuple(words[j:j + size].tolist())].append((at, j))
         self.seeds = {size: dict(by) for size, by in seeds.items()}
@@ -145,8 +148,8 @@ class Index:
         return got
 
     def seeded(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """Item -> starts of its item-sized windows that share a long enough run with it."""
-        starts = defaultdict(set)
+        """Item -> starts of its item-sized windows that share enough runs with it."""
+        diagonals = defaultdict(list)
         for size, by in self.seeds.items():
             if len(words) < size:
                 continue
@@ -163,24 +166,28 @@ class Index:
             slot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             for p in where[codes[slot] == code].tolist():
                 for at, j in by.get(tuple(words[p:p + size].tolist()), ()):
-                    starts[at].add(p - j)
+                    diagonals[at].append(p - j)
         out = {}
-        for at, diagonals in starts.items():
-            e = max_edits(len(self.items[at][1]), self.similarity)
-            near = {s + d for s in diagonals for d in range(-e, e + 1)}
+        for at, found in diagonals.items():
+            n = len(self.items[at][1])
+            e, need = max_edits(n, self.similarity), self.need[at]
+            if len(found) < need:
+                continue
+            d = np.sort(np.array(found, np.int64))
+            low, high = d[:len(d) - need + 1], d[need - 1:]
+            dense = high - low <= 2 * e
+            near = {s for a, b in zip(high[dense].tolist(), low[dense].tolist()) for s in range(a - e, b + e + 1)}
             out[at] = np.array(sorted(s for s in near if 0 <= s < len(words)), np.int64)
         return out
 
-    def retrieved(self, words: np.ndarray, at: int, starts: np.ndarray) -> np.ndarray:
-        """The starts whose window agrees with the item in one of the repetitions."""
-        n, hit = len(self.items[at][1]), np.zeros(len(starts), bool)
+    def retrieved(self, words: np.ndarray, at: int, starts: np.ndarray) -> bool:
+        """Whether a window at one of the starts agrees with the item in one of the repetitions."""
+        n = len(self.items[at][1])
         for r in range(self.repeats):
-            left = np.flatnonzero(~hit)
-            if not len(left):
-                break
-            code = embed_at(words, starts[left], n, r, self._places(n, r))
-            hit[left] |= (code == self.item_code(at, r)[:, None]).all(0)
-        return starts[hit]
+            code = embed_at(words, starts, n, r, self._places(n, r))
+            if (code == self.item_code(at, r)[:, None]).all(0).any():
+                return True
+        return False
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, start word, end word, edits) of every item that the text holds."""
@@ -196,13 +203,12 @@ class Index:
                 continue
             key, item = self.items[at]
             e, wanted, best = max_edits(len(item), self.similarity), item.tolist(), None
-            hits = self.retrieved(words, at, starts)
-            # windows of one place overlap; each run of starts is verified once
-            for run in np.split(hits, np.flatnonzero(np.diff(hits) > e + 1) + 1):
-                if not len(run):
+            # starts close to each other are one place of the text: one hit there leads to one verification
+            for place in np.split(starts, np.flatnonzero(np.diff(starts) > e + 1) + 1):
+                if not self.retrieved(words, at, place):
                     continue
-                for a in range(int(run[0]), int(run[-1]) + 1, max(len(item), 1)):
-                    lo, hi = max(0, a - e), min(len(words), min(a + len(item) - 1, int(run[-1])) + len(item) + e)
+                for a in range(int(place[0]), int(place[-1]) + 1, len(item)):
+                    lo, hi = max(0, a - e), min(len(words), min(a + len(item) - 1, int(place[-1])) + len(item) + e)
                     d = local_distance(wanted, words[lo:hi].tolist())
                     if d <= e and (best is None or d < best[3]):
                         best = (key, lo, hi, d)
