@@ -11,10 +11,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import decontaminate, simhash, toxicity
+from linkwise.llm import decontaminate, packing, simhash, toxicity
 from linkwise.llm.common import crc_fold, out_id, table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file; it is read where it is, never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    found = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, closing_id=0)
+    return found.select(out_id(), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
+                        F.col("sequence").alias("sequence_id"), "offset")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -38,6 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_packing": op4_packing,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op10_simhash": op10_simhash,
