@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import decontaminate, packing, simhash, toxicity
+from linkwise.llm import decontaminate, packing, simhash, token_counts, toxicity
 from linkwise.llm.common import crc_fold, out_id, table
 
 
@@ -22,6 +22,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return found.select(out_id(), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     found = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, closing_id=0)
     return found.select(out_id(), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
@@ -55,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op4_packing": op4_packing,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
