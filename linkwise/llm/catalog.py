@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import decontaminate, packing, simhash, token_counts, toxicity
+from linkwise.llm import decontaminate, packing, pii, simhash, token_counts, toxicity
 from linkwise.llm.common import crc_fold, out_id, table
 
 
@@ -27,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(out_id(), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans_by_row(table(spark, sf_dir, "documents"))
+    return found.select(out_id(), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context")
+
+
 def packed(docs: DataFrame) -> DataFrame:
     found = packing.pack(docs, tokenizer_file("word_bpe_49k.json"), capacity=2048, closing_id=0)
     return found.select(out_id(), "piece", "start", "length", F.col("crc").alias("ids_crc32"),
@@ -61,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_pii": op3_pii,
         "op4_packing": op4_packing,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,

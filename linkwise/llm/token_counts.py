@@ -41,7 +41,7 @@ from linkwise.session import materialize
 CHUNK = 65_536
 OVERLAP = 2_048
 #: White space of the tokenizer's pattern; Python's own also has \\x1c-\\x1f.
-BLANKS = frozenset("\t\n\v\f\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+BLANKS = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 CACHE_STRETCHES = 500_000
 _BLANK = "[" + "".join(sorted(BLANKS)) + "]"
 #: Blanks and the run of other characters after them; blanks alone at the text's end.
