@@ -41,21 +41,62 @@ from linkwise.session import materialize
 
 CAPACITY = 2048
 CLOSING_ID = 0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: str.split() takes these for white space, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 _state: dict = {}
 
 
-def _tokenizer(path: str):
-    """The tokenizer of this worker process and its word cache."""
+def byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 stands for itself, other bytes for the letters from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others)}
+
+
+class Words(dict):
+    """Ids of each word, little-endian unsigned 32 bits each, worked out once.
+
+    Words of Latin-1 letters go straight to the tokenizer's BPE model: its normalizer
+    only lower-cases them and its pre-tokenizer leaves them whole; a full stop or comma
+    after them is a token sequence of its own. Other words take the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model, self.letters = tokenizer, tokenizer.model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoded(word)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def encoded(self, word: str) -> bytes:
+        if max(word) > "\xff":
+            return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if word[-1] in ".," and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        if word.isalpha():
+            lower = word.lower()
+            if lower != word:
+                return self[lower]
+            if not word.isascii():
+                lower = lower.encode().decode("latin-1").translate(self.letters)
+            return _packed([t.id for t in self.model.tokenize(lower)])
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+
+def _words(path: str) -> Words:
+    """The word cache of this worker process."""
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), words={})
-    return _state["tokenizer"], _state["words"]
+        _state.update(path=path, words=Words(Tokenizer.from_file(path)))
+    return _state["words"]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -64,23 +105,10 @@ def _packed(ids: list[int]) -> bytes:
 
 def token_bytes(text: str, path: str) -> bytes:
     """The ids of a text, little-endian unsigned 32 bits each."""
-    tokenizer, known = _tokenizer(path)
+    words = _words(path)
     if SEPARATORS.search(text):
-        return _packed(tokenizer.encode(text, add_special_tokens=False).ids)
-    words = text.split()
-    try:
-        return b"".join([known[w] for w in words])
-    except KeyError:
-        new = [w for w in dict.fromkeys(words) if w not in known]
-    own = known if len(known) + len(new) <= CACHE_WORDS else {}
-    if own is not known:
-        known.clear()
-        new = list(dict.fromkeys(words))
-        if len(new) <= CACHE_WORDS:
-            own = known
-    for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-        own[w] = _packed(e.ids)
-    return b"".join([own[w] for w in words])
+        return _packed(words.tokenizer.encode(text, add_special_tokens=False).ids)
+    return b"".join([words[w] for w in text.split()])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = CLOSING_ID) -> DataFrame:
