@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import decontaminate, packing, pii, simhash, token_counts, toxicity
+from linkwise.llm import chat_format, decontaminate, packing, pii, simhash, token_counts, toxicity
 from linkwise.llm.common import crc_fold, out_id, table
 
 
@@ -57,6 +57,43 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+#: A conversation whose texts hold every control string of the template.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = chat_format.records_of(table(spark, sf_dir, "conversations"))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(
+        F.lit(CONTROL_TEXT).alias("instruction"), F.lit(CONTROL_TEXT).alias("output"))).alias("record"))
+    out = chat_format.formatted(chat_format.canonical_turns(records.unionByName(extra)))
+    turns, loss = chat_format.read_back(F.col("formatted")), chat_format.loss_text(F.col("formatted"), F.col("loss"))
+    read = out.select("conv_id", turns.alias("turns"), loss.alias("loss"), "formatted")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP9_SQL = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), s AS (
+    SELECT *, length(text) + length(regexp_replace(text, '[^\\<#]', '', 'g')) AS body,
+        length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) AS head FROM t
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(4 + head + 2 + body + 9) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return found.select(out_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -70,9 +107,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
+        "op9_chat_format": op9_chat_format,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_chat_format": OP9_SQL,
+    }
