@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import chat_format, decontaminate, packing, pii, simhash, token_counts, toxicity
+from linkwise.llm import chat_format, decontaminate, mih_search, packing, pii, simhash, token_counts, toxicity
 from linkwise.llm.common import crc_fold, out_id, table
 
 
@@ -27,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(out_id(), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op2_mih_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return mih_search.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans_by_row(table(spark, sf_dir, "documents"))
     return found.select(out_id(), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_context")
@@ -103,6 +108,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_mih_search": op2_mih_search,
         "op3_pii": op3_pii,
         "op4_packing": op4_packing,
         "op7_decontamination": op7_decontamination,
