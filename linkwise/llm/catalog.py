@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import chat_format, decontaminate, mih_search, packing, pii, simhash, token_counts, toxicity
+from linkwise.llm import chat_format, decontaminate, mih_search, packing, pii, recompression, simhash, token_counts, toxicity
 from linkwise.llm.common import crc_fold, out_id, table
 
 
@@ -47,6 +47,36 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(out_id(), "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w
+    FROM documents
+), s AS (
+    SELECT doc_id, unnest(range(1, greatest(1, len(w) - 18))) AS i, w FROM d
+), h AS (
+    SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM s
+), r AS (
+    SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS n FROM h) WHERE n > 1
+), g AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r
+), p AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p, FROM d
+), k AS (
+    SELECT p.doc_id, count(*) AS n_words, count(g.p) AS n_removed,
+        string_agg(p.word, ' ' ORDER BY p.p) FILTER (g.p IS NULL) AS kept
+    FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.p = g.p GROUP BY p.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -111,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mih_search": op2_mih_search,
         "op3_pii": op3_pii,
         "op4_packing": op4_packing,
+        "op5_recompression": op5_recompression,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
@@ -120,5 +151,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_recompression": OP5_SQL,
         "op9_chat_format": OP9_SQL,
     }
