@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import chat_format, decontaminate, mih_search, packing, pii, recompression, simhash, token_counts, toxicity
+from linkwise.llm import chat_format, decontaminate, mih_search, packing, pii, recompression, simhash, suffix_dedup, token_counts, toxicity
 from linkwise.llm.common import crc_fold, out_id, table
 
 
@@ -54,7 +54,8 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (
-    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w
     FROM documents
 ), s AS (
     SELECT doc_id, unnest(range(1, greatest(1, len(w) - 18))) AS i, w FROM d
@@ -77,6 +78,41 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(out_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP6_SQL = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+    SELECT doc_id, x, unnest(range(1, greatest(1, length(x) // 2 - 48))) AS i FROM d
+), h AS (
+    SELECT doc_id, i, md5(substr(x, 2 * i - 1, 100)) AS h FROM w
+), m AS (
+    SELECT h, min(doc_id) AS first FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)
+), r AS (
+    SELECT h.doc_id, h.i FROM h JOIN m ON h.h = m.h WHERE h.doc_id > m.first
+), o AS (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM r
+), g AS (
+    SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o
+), s AS (
+    SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run
+), t AS (
+    SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS from_ FROM s
+), k AS (
+    SELECT t.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+        string_agg(substr(d.x, 2 * from_ - 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(d.x), 2 * max(b) - 1) AS kept
+    FROM t JOIN d ON t.doc_id = d.doc_id GROUP BY t.doc_id
+)
+SELECT d.doc_id, length(d.x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+    coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, d.x))) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -142,6 +178,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_packing": op4_packing,
         "op5_recompression": op5_recompression,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
@@ -152,5 +189,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_recompression": OP5_SQL,
+        "op6_suffix_dedup": OP6_SQL,
         "op9_chat_format": OP9_SQL,
     }
