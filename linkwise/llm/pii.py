@@ -206,17 +206,17 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     runs = first.withColumn("run", F.sum("opens").over(order)).groupBy("id", "version", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", "start").alias("kind"))
     listed = runs.groupBy("id", "version").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans")).select(
-        F.col("id").alias("_id"), F.col("version").alias("_version"), "_spans")
-    keyed = docs.withColumns({"_id": F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)),
-                              "_version": F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))})
-    joined, text = keyed.join(listed, ["_id", "_version"], "left"), F.col(text_col)
-    ends = F.transform(F.slice("_spans", 1, F.size("_spans") - 1), lambda s: s["end"])
+        F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("__pii_spans")).select(
+        F.col("id").alias("__pii_id"), F.col("version").alias("__pii_version"), "__pii_spans")
+    keyed = docs.withColumns({"__pii_id": F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)),
+                              "__pii_version": F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))})
+    joined, text = keyed.join(listed, ["__pii_id", "__pii_version"], "left"), F.col(text_col)
+    ends = F.transform(F.slice("__pii_spans", 1, F.size("__pii_spans") - 1), lambda s: s["end"])
     begins = F.concat(F.array(F.lit(0).cast("long")), ends)
-    parts = F.zip_with(begins, F.col("_spans"), lambda at, s: F.concat(
+    parts = F.zip_with(begins, F.col("__pii_spans"), lambda at, s: F.concat(
         F.substring(text, at.cast("int") + 1, (s["start"] - at).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring(text, (F.element_at("_spans", -1)["end"] + 1).cast("int"), F.length(text))
-    out = joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), F.concat(
+    tail = F.substring(text, (F.element_at("__pii_spans", -1)["end"] + 1).cast("int"), F.length(text))
+    out = joined.withColumn(text_col, F.when(F.col("__pii_spans").isNotNull(), F.concat(
         F.array_join(parts, ""), tail)).otherwise(text))
     if length_col:
         out = out.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))
