@@ -9,13 +9,14 @@ nobody else can read.
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Spark removes the shuffle files of an execution when it ends.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "linkwise",
@@ -68,11 +69,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the work folder and read it back.
 
     A reliable, lineage-free copy: a lost executor re-reads files instead of
-    recomputing the plan, and the scan keeps column pruning and pushdown.
+    recomputing the plan, and the scan keeps column pruning and pushdown. The shuffle
+    files behind the copy are removed as soon as it is written.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP_CONF, "false")
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -83,17 +90,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner remove the shuffle files of finished plans.
-
-    Spark drops shuffle files once the driver no longer references the plan that
-    made them; asking for a collection after a table is written frees the disk
-    of the finished phase before the next one starts.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def ship_package(spark: SparkSession, folder: str | None = None) -> str:
     """Send this package to executors that do not have it on their path.
 
