@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 
 from linkwise.llm import windows as X
 from linkwise.llm.common import map_rows, text_bytes
-from linkwise.session import materialize, release_shuffles
+from linkwise.session import materialize
 
 WIDTH = 20
 #: Characters of text per bucket; a bucket holds a few of its anchors for every 100 of them.
@@ -142,9 +142,9 @@ def verified(texts: DataFrame, finder: Recompression, buckets: int) -> DataFrame
     def candidates(batch: pa.RecordBatch):
         ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
         docs, starts, first, second = [], [], [], []
-        for i, (text, lists) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lists").to_pylist())):
+        for i, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())):
             units = finder.units(text)
-            at, _ = X.selected(finder, units, lists)
+            at, _ = X.selected(finder, units, places)
             if len(at):
                 docs.append(np.full(len(at), i))
                 starts.append(at)
@@ -163,9 +163,9 @@ def verified(texts: DataFrame, finder: Recompression, buckets: int) -> DataFrame
     def later(table: pa.Table) -> pa.Table:
         ids, versions, starts, first, second = X.unpacked(table.filter(pc.invert(table["gone"])), np.uint64)
         repeated, known = ~earliest(first, second, ids, starts), X.unpacked(table.filter(table["gone"]))
-        return X.runs_table(*[np.concatenate([a[repeated], b]) for a, b in zip((ids, versions, starts), known)])
+        return X.runs_home(*[np.concatenate([a[repeated], b]) for a, b in zip((ids, versions, starts), known)], buckets)
 
-    return map_rows(texts, candidates, X.PACKED).groupBy("bucket").applyInArrow(later, X.PLACES)
+    return X.gathered(map_rows(texts, candidates, X.PACKED).groupBy("bucket").applyInArrow(later, X.PACKED))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,9 +173,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     finder, texts = Recompression(), X.versioned(docs, id_col, text_col)
     buckets = max(LEAST_BUCKETS, -(-text_bytes(docs, text_col) // BUCKET_CHARS))
     found = materialize(X.revealed(texts, finder, buckets, across=False), "recompression-revealed")
-    release_shuffles(docs.sparkSession)
     runs = materialize(verified(X.with_places(texts, found, "inner"), finder, buckets), "recompression-runs")
-    release_shuffles(docs.sparkSession)
     return runs
 
 
@@ -185,11 +183,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(batch: pa.RecordBatch):
         sizes, removed, kept = [], [], []
-        for text, lists in zip(batch.column("text").to_pylist(), batch.column("lists").to_pylist()):
+        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
             words = text.encode().split()
             sizes.append(len(words))
-            if lists:
-                gone = X.covered(len(words), lists, WIDTH)
+            if places:
+                gone = X.covered(len(words), places, WIDTH)
                 removed.append(int(gone.sum()))
                 words = [words[j] for j in np.flatnonzero(~gone).tolist()]
             else:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from linkwise.llm import windows as X
 from linkwise.llm.common import map_rows, text_bytes
-from linkwise.session import materialize, release_shuffles
+from linkwise.session import materialize
 
 WIDTH = 50
 GRAM = 8
@@ -210,9 +210,9 @@ def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
     def stretches(batch: pa.RecordBatch):
         ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
         docs, starts, grams_at, parts = [], [], [], []
-        for i, (text, lists) in enumerate(zip(batch.column("text").to_pylist(), batch.column("lists").to_pylist())):
+        for i, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())):
             units = finder.units(text)
-            at, codes = X.selected(finder, units, lists)
+            at, codes = X.selected(finder, units, places)
             if not len(at):
                 continue
             place = codes >> 1
@@ -251,9 +251,9 @@ def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
         at, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(ids):
             at, places = shard_repeats(b"".join(own["body"].to_pylist()), sizes, ids, starts)
-        return X.runs_table(*[np.concatenate([a, b]) for a, b in zip((ids[at], versions[at], places), back)])
+        return X.runs_home(*[np.concatenate([a, b]) for a, b in zip((ids[at], versions[at], places), back)], shards)
 
-    return map_rows(texts, stretches, X.PACKED).groupBy("bucket").applyInArrow(sorted_shard, X.PLACES)
+    return X.gathered(map_rows(texts, stretches, X.PACKED).groupBy("bucket").applyInArrow(sorted_shard, X.PACKED))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,9 +261,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     finder, texts, size = Anchors(), X.versioned(docs, id_col, text_col), text_bytes(docs, text_col)
     buckets, shards = max(LEAST_BUCKETS, -(-size // REVEAL_CHARS)), max(LEAST_BUCKETS, -(-size // SHARD_CHARS))
     found = materialize(X.revealed(texts, finder, buckets, across=True), "suffix-revealed")
-    release_shuffles(docs.sparkSession)
     runs = materialize(verified(X.with_places(texts, found, "inner"), finder, shards), "suffix-runs")
-    release_shuffles(docs.sparkSession)
     return runs
 
 
@@ -273,11 +271,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(batch: pa.RecordBatch):
         sizes, removed, spans, kept = [], [], [], []
-        for text, lists in zip(batch.column("text").to_pylist(), batch.column("lists").to_pylist()):
+        for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
             raw = text.encode()
             sizes.append(len(raw))
-            if lists:
-                gone = X.covered(len(raw), lists, WIDTH)
+            if places:
+                gone = X.covered(len(raw), places, WIDTH)
                 removed.append(int(gone.sum()))
                 spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()

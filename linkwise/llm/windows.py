@@ -7,7 +7,8 @@ window's content alone, and two context keys per anchor: one for windows that re
 same anchor place, the same side and equal context keys.
 
 1. ``revealed``: every anchor's keys are shuffled (hash-partitioned, packed) and those that
-   occur again come back per document. Windows whose key is unique cannot repeat.
+   occur again come back per document. Windows whose key is unique cannot repeat. What
+   buckets find for a document goes packed to the document's home bucket and leaves it as one row.
 2. A second shuffle by the caller brings the windows of revealed anchors together and verifies them.
 3. ``with_runs`` brings the removed window starts back to the texts.
 
@@ -30,6 +31,7 @@ STRETCH = 1 << 20
 PACKED = ("bucket int, ids binary, versions binary, counts binary, codes binary, k1 binary, k2 binary, body binary, "
           "gone boolean")
 NAMES = [c.split()[0] for c in PACKED.split(", ")]
+PACKED_SCHEMA = pa.schema(list(zip(NAMES, [pa.int32()] + [pa.binary()] * 7 + [pa.bool_()])))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -110,8 +112,8 @@ def packed_batch(rows) -> pa.RecordBatch | None:
     rows = list(rows)
     if not rows:
         return None
-    kinds = [pa.int32()] + [pa.binary()] * 7 + [pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(NAMES, kinds)], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in PACKED_SCHEMA],
+                                      schema=PACKED_SCHEMA)
 
 
 def unpacked(table: pa.Table, dtype2=None):
@@ -128,22 +130,40 @@ def unpacked(table: pa.Table, dtype2=None):
     return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, empty)]
 
 
-def by_document(ids: np.ndarray, versions: np.ndarray, values: np.ndarray) -> pa.Table:
-    """One row (id, version, values) per document; values as packed uint32, ascending."""
+def sent_home(ids: np.ndarray, versions: np.ndarray, values: np.ndarray, homes: int) -> pa.Table:
+    """Values for documents, packed by the home bucket of their document."""
     order = np.lexsort((values, versions, ids))
-    ids, versions, values = ids[order], versions[order], values[order].astype(np.uint32)
-    starts = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])))) if len(
+    ids, versions, values = ids[order], versions[order], values[order].astype(np.uint64)
+    other = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])))) if len(
         ids) else np.zeros(0, np.int64)
-    ends = [*starts[1:].tolist(), len(ids)]
-    return pa.table([pa.array(ids[starts]), pa.array(versions[starts]), pa.array(
-        [values[a:b].tobytes() for a, b in zip(starts.tolist(), ends)], pa.binary())], names=["id", "version", "places"])
+    doc = np.repeat(np.arange(len(other)), np.diff(np.append(other, len(ids))))
+    home = (mix(ids.view(np.uint64) ^ mix(versions.view(np.uint64))) % np.uint64(homes)).astype(np.int32)
+    batch = packed_batch(Packer(ids[other], versions[other]).rows(home, doc, np.zeros(len(ids), np.uint32), values))
+    return pa.Table.from_batches([batch] if batch is not None else [], schema=PACKED_SCHEMA)
+
+
+def at_home(table: pa.Table) -> pa.Table:
+    """One row (id, version, places) per document; values as packed uint64, ascending."""
+    ids, versions, _, values, _ = unpacked(table)
+    order = np.lexsort((values, versions, ids))
+    ids, versions, values = ids[order], versions[order], values[order]
+    other = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])))) if len(
+        ids) else np.zeros(0, np.int64)
+    ends = [*other[1:].tolist(), len(ids)]
+    return pa.table([pa.array(ids[other]), pa.array(versions[other]), pa.array(
+        [values[a:b].tobytes() for a, b in zip(other.tolist(), ends)], pa.binary())], names=["id", "version", "places"])
 
 
 PLACES = "id long, version long, places binary"
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """(id, version, places): what all buckets say about a document, one row each."""
+    return found.groupBy("bucket").applyInArrow(at_home, PLACES)
+
+
 def revealed(texts: DataFrame, finder, buckets: int, across: bool) -> DataFrame:
-    """(id, version, places): codes of anchors whose context key occurs again.
+    """(id, version, places), one row per document: codes of anchors whose context key occurs again.
 
     ``across``: again in another document, else anywhere.
     """
@@ -177,57 +197,40 @@ def revealed(texts: DataFrame, finder, buckets: int, across: bool) -> DataFrame:
         else:
             hit = sizes > 1
         mine = order[np.repeat(hit, sizes)]
-        return by_document(ids[mine], versions[mine], codes[mine])
+        return sent_home(ids[mine], versions[mine], codes[mine], buckets)
 
-    return map_rows(texts, keyed, PACKED).groupBy("bucket").applyInArrow(again, PLACES)
-
-
-def per_document(places: DataFrame) -> DataFrame:
-    """(id, version, lists): what all buckets say about a document."""
-    return places.groupBy("id", "version").agg(F.collect_list("places").alias("lists"))
+    return gathered(map_rows(texts, keyed, PACKED).groupBy("bucket").applyInArrow(again, PACKED))
 
 
 def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
-    """(id, version, text, lists): the texts with the places found in them."""
-    return texts.join(per_document(places), ["id", "version"], how).select("id", "version", "text", "lists")
-
+    """(id, version, text, places): the texts with the places found in them."""
+    return texts.join(places, ["id", "version"], how).select("id", "version", "text", "places")
 
-def united(lists) -> np.ndarray:
-    """The uint32 values of a document's lists, ascending and once each."""
-    return np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])) if lists else np.zeros(0, np.uint32)
 
-
-def selected(finder, units: np.ndarray, lists) -> tuple[np.ndarray, np.ndarray]:
+def selected(finder, units: np.ndarray, places: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(windows, codes) of the windows whose anchor key was revealed."""
-    codes = codes_of(finder, units)
-    found = united(lists)
-    at = np.minimum(np.searchsorted(found, codes), max(0, len(found) - 1))
-    windows = np.flatnonzero(found[at] == codes) if len(found) else np.zeros(0, np.int64)
+    codes, found = codes_of(finder, units), np.unique(np.frombuffer(places, np.uint64)).astype(np.int64)
+    if not len(found) or not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    windows = np.flatnonzero(found[np.minimum(np.searchsorted(found, codes), len(found) - 1)] == codes)
     return windows, codes[windows]
 
 
-def runs_table(ids: np.ndarray, versions: np.ndarray, starts: np.ndarray) -> pa.Table:
-    """One row (id, version, places) per document; places are runs of window starts, packed
-    as uint32 pairs (first, last + 1)."""
+def runs_home(ids: np.ndarray, versions: np.ndarray, starts: np.ndarray, homes: int) -> pa.Table:
+    """Runs of consecutive window starts, sent home as first * 2^32 + last + 1."""
     order = np.lexsort((starts, versions, ids))
     ids, versions, starts = ids[order], versions[order], starts[order].astype(np.int64)
     if not len(ids):
-        return by_document(ids, versions, starts)
-    other = np.concatenate(([True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])))
-    opens = np.flatnonzero(other | np.concatenate(([True], starts[1:] > starts[:-1] + 1)))
-    pairs = np.stack([starts[opens], starts[np.append(opens[1:], len(starts)) - 1] + 1], 1).astype(np.uint32)
-    docs = np.searchsorted(opens, np.flatnonzero(other))
-    ends = [*docs[1:].tolist(), len(opens)]
-    firsts = np.flatnonzero(other)
-    return pa.table([pa.array(ids[firsts]), pa.array(versions[firsts]), pa.array(
-        [pairs[a:b].tobytes() for a, b in zip(docs.tolist(), ends)], pa.binary())], names=["id", "version", "places"])
-
-
-def covered(n: int, lists, width: int) -> np.ndarray:
+        return sent_home(ids, versions, starts, homes)
+    opens = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (versions[1:] != versions[:-1])
+                                           | (starts[1:] > starts[:-1] + 1))))
+    last = starts[np.append(opens[1:], len(starts)) - 1] + 1
+    return sent_home(ids[opens], versions[opens], (starts[opens] << 32) | last, homes)
+
+
+def covered(n: int, places: bytes, width: int) -> np.ndarray:
     """Which of n units lie in a window that starts in one of the runs."""
-    edge = np.zeros(n + 1, np.int64)
-    for x in lists or ():
-        pairs = np.frombuffer(x, np.uint32).reshape(-1, 2).astype(np.int64)
-        edge += np.bincount(pairs[:, 0], minlength=n + 1)
-        edge -= np.bincount(np.minimum(pairs[:, 1] - 1 + width, n), minlength=n + 1)
+    runs = np.frombuffer(places, np.uint64).astype(np.int64)
+    edge = np.bincount(runs >> 32, minlength=n + 1)
+    edge = edge - np.bincount(np.minimum((runs & (2**32 - 1)) - 1 + width, n), minlength=n + 1)
     return np.cumsum(edge[:n]) > 0

@@ -141,4 +141,4 @@ def test_kept_texts(make):
     kept = {r.id: r.kept for r in R.deduplicated(make(rows), keep_text=True).collect()}
     assert kept[2] == "start end"
     raw = {r.id: r.kept for r in S.deduplicated(make(rows), keep_bytes=True).collect()}
-    assert bytes(raw[2]) == b"startend"
+    assert bytes(raw[2]) == b"start end"
