@@ -7,7 +7,7 @@
 * Shards (second shuffle): the stretches of text around revealed anchors go to the shard of their
   anchor's gram, so equal windows meet in one shard. Equal stretches of one batch are sent
   for the smallest document id alone.
-* Induced sorting (Nong, Zhang and Chan 2009) in each shard: suffixes are classified
+* Induced sorting (Nong, Zhang and Chan 2009) of each shard's distinct stretches: suffixes are classified
   as larger or smaller than their successor, leftmost-smaller substrings are sorted by inducing and
   named, the string of names is sorted (by rank doubling, as deep as 50 bytes reach), and the sorted
   leftmost-smaller suffixes induce all others in two linear sweeps. The sweeps move whole
@@ -179,13 +179,13 @@ def repeated_places(body: np.ndarray, array: np.ndarray, width: int = WIDTH) ->
     return out
 
 
-def shard_repeats(bodies: bytes, sizes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stretch, window start) of the windows that a smaller id holds too."""
-    n, lengths = len(sizes), sizes.astype(np.int64)
+def sorted_repeats(bodies: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, window) of the windows that a stretch of a smaller id holds too."""
+    n, lengths = len(bodies), np.fromiter(map(len, bodies), np.int64, len(bodies))
     own = np.repeat(np.arange(n), lengths)
     at = np.arange(len(own)) + own
     t = np.full(len(own) + n, SEPARATOR, np.uint16)
-    raw = np.frombuffer(bodies, np.uint8)
+    raw = np.frombuffer(b"".join(bodies), np.uint8)
     t[at] = raw.astype(np.uint16) + SHIFT
     body = np.zeros(len(t), np.uint8)
     body[at] = raw
@@ -201,7 +201,39 @@ def shard_repeats(bodies: bytes, sizes: np.ndarray, ids: np.ndarray, starts: np.
     group_ids = ids[own[place]]
     least = np.repeat(np.minimum.reduceat(group_ids, opens), np.diff(np.append(opens, len(array))))
     hit = place[group_ids > least]
-    return own[hit], starts[own[hit]].astype(np.int64) + local[hit]
+    return own[hit], local[hit]
+
+
+def shard_repeats(parts: list[bytes], anchors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, window) of the windows that a smaller id holds too; ``anchors``: their place in the stretch.
+
+    Equal stretches are sorted once, for their smallest id. Equal windows have the same gram at
+    their anchor, so a stretch whose gram no other distinct stretch has needs no sorting.
+    """
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts))
+    distinct, least = list(number), np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, ids)
+    anchor = np.zeros(len(distinct), np.int64)
+    anchor[which] = anchors
+    gram = [p[a:a + GRAM] for p, a in zip(distinct, anchor.tolist())]
+    often: dict[bytes, int] = {}
+    for g in gram:
+        often[g] = often.get(g, 0) + 1
+    chosen = np.flatnonzero(np.fromiter((often[g] > 1 for g in gram), bool, len(gram)))
+    lead = ids == least[which]
+    away = np.flatnonzero(~lead)
+    count = np.fromiter((len(parts[j]) - WIDTH + 1 for j in away.tolist()), np.int64, len(away))
+    found = [(np.repeat(away, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))]
+    if len(chosen):
+        at, window = sorted_repeats([distinct[j] for j in chosen.tolist()], least[chosen])
+        owners = np.flatnonzero(lead)
+        owners = owners[np.argsort(which[owners], kind="stable")]
+        low = np.searchsorted(which[owners], chosen[at], "left")
+        many = np.searchsorted(which[owners], chosen[at], "right") - low
+        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        found.append((owners[np.repeat(low, many) + inside], np.repeat(window, many)))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
@@ -209,7 +241,7 @@ def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
 
     def stretches(batch: pa.RecordBatch):
         ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
-        docs, starts, grams_at, parts = [], [], [], []
+        docs, starts, grams_at, anchors, parts = [], [], [], [], []
         for i, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())):
             units = finder.units(text)
             at, codes = X.selected(finder, units, places)
@@ -222,21 +254,22 @@ def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
             docs.append(np.full(len(opens), i))
             starts.append(at[opens])
             grams_at.append(X.mix(grams(units)[place[opens]]))
+            anchors.append(place[opens] - at[opens])
             parts += [raw[a:b] for a, b in zip(at[opens].tolist(), last.tolist())]
         if not docs:
             return
-        docs, starts, grams_at = map(np.concatenate, (docs, starts, grams_at))
+        docs, starts, grams_at, anchors = map(np.concatenate, (docs, starts, grams_at, anchors))
         least: dict[bytes, int] = {}
         owner = ids[docs].tolist()
         for part, key in zip(parts, owner):
             if key < least.get(part, key + 1):
                 least[part] = key
         lead = np.fromiter((least[p] == key for p, key in zip(parts, owner)), bool, len(parts))
-        sizes = np.fromiter(map(len, parts), np.uint8, len(parts))
+        sizes = np.fromiter(map(len, parts), np.uint16, len(parts))
         packer = X.Packer(ids, versions)
         kept = np.flatnonzero(lead)
         rows = list(packer.rows((grams_at[kept] % np.uint64(shards)).astype(np.int32), docs[kept], starts[kept],
-                                k2=sizes[kept], body=lambda mine: b"".join([parts[j] for j in kept[mine].tolist()])))
+                                k2=sizes[kept] | (anchors[kept].astype(np.uint16) << 8), body=lambda mine: b"".join([parts[j] for j in kept[mine].tolist()])))
         # stretches that a smaller id of the same batch holds too need only the way back
         away = np.flatnonzero(~lead)
         count = sizes[away].astype(np.int64) - WIDTH + 1
@@ -247,10 +280,13 @@ def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
 
     def sorted_shard(table: pa.Table) -> pa.Table:
         own, back = table.filter(pc.invert(table["gone"])), X.unpacked(table.filter(table["gone"]))
-        ids, versions, starts, _, sizes = X.unpacked(own, np.uint8)
+        ids, versions, starts, _, shape = X.unpacked(own, np.uint16)
         at, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(ids):
-            at, places = shard_repeats(b"".join(own["body"].to_pylist()), sizes, ids, starts)
+            ends = np.cumsum(shape & 255, dtype=np.int64).tolist()
+            raw = b"".join(own["body"].to_pylist())
+            at, window = shard_repeats([raw[a:b] for a, b in zip([0, *ends], ends)], shape >> 8, ids)
+            places = starts[at].astype(np.int64) + window
         return X.runs_home(*[np.concatenate([a, b]) for a, b in zip((ids[at], versions[at], places), back)], shards)
 
     return X.gathered(map_rows(texts, stretches, X.PACKED).groupBy("bucket").applyInArrow(sorted_shard, X.PACKED))
