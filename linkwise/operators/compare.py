@@ -22,15 +22,18 @@ def is_null_side(c: Comparison, l: Column, r: Column) -> Column:
     return null
 
 
-def gamma_expr(c: Comparison, l: Column, r: Column, jw: Column | None = None) -> Column:
-    """Level of one comparison: -1 null, top = exact, ..., 0 = else."""
+def gamma_expr(c: Comparison, l: Column, r: Column, jw: Column | None = None, lev: Column | None = None) -> Column:
+    """Level of one comparison: -1 null, top = exact, ..., 0 = else.
+
+    ``jw`` and ``lev`` are the similarity and the capped distance where they are columns already.
+    """
     levels = c.similarity_levels()
     top = c.n_levels - 1
     expr = F.when(is_null_side(c, l, r), F.lit(-1)).when(l == r, F.lit(top))
     lev_cap = max([int(t) for m, t in levels if m == "levenshtein"], default=0)
     for i, (measure, cut) in enumerate(levels):
         if measure == "levenshtein":
-            d = F.levenshtein(l, r, lev_cap)
+            d = lev if lev is not None else F.levenshtein(l, r, lev_cap)
             cond = (d >= 0) & (d <= int(cut))
         elif measure == "jaro_winkler":
             cond = (jw if jw is not None else jaro_winkler_similarity(l, r)) >= F.lit(cut)
@@ -51,12 +54,19 @@ def compare(pairs: DataFrame, comparisons, keep_values: bool = False) -> DataFra
             name = f"_jw_{c.column}"
             pairs = pairs.withColumn(name, jaro_winkler_similarity(F.col(f"{c.column}_l"), F.col(f"{c.column}_r")))
             jw_cols[c.column] = name
+    lev_cols = {c.gamma: f"_lev_{c.column}" for c in comparisons if c.kind == "levenshtein"}
+    if lev_cols:
+        # one distance per pair for all levels; equal values need none
+        pairs = pairs.withColumns({lev_cols[c.gamma]: F.when(F.col(f"{c.column}_l") == F.col(f"{c.column}_r"), 0).otherwise(
+            F.levenshtein(f"{c.column}_l", f"{c.column}_r", int(max(t for _, t in c.similarity_levels()))))
+            for c in comparisons if c.gamma in lev_cols})
     gammas = {
         c.gamma: gamma_expr(c, F.col(f"{c.column}_l"), F.col(f"{c.column}_r"),
-                            F.col(jw_cols[c.column]) if c.column in jw_cols else None)
+                            F.col(jw_cols[c.column]) if c.column in jw_cols else None,
+                            F.col(lev_cols[c.gamma]) if c.gamma in lev_cols else None)
         for c in comparisons
     }
-    out = pairs.withColumns(gammas).drop(*jw_cols.values())
+    out = pairs.withColumns(gammas).drop(*jw_cols.values(), *lev_cols.values())
     if not keep_values:
         value_cols = {f"{c.column}_{s}" for c in comparisons for s in ("l", "r")}
         out = out.drop(*[v for v in value_cols if v in out.columns])

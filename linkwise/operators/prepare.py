@@ -8,6 +8,7 @@ and the prepared table is a single ``select``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkwise.functions import validate as V
@@ -35,16 +36,32 @@ class DataValidationError(ValueError):
     """The batch check found problems that fail the whole load."""
 
 
-def with_unique_id(df: DataFrame, id_column: str | None = None) -> DataFrame:
+def content_key(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """SHA-256 of a row's values (null told apart from blank)."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in (columns or df.columns)]
+    return F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256)
+
+
+def with_unique_id(df: DataFrame, id_column: str | None = None, salts: int = 64) -> DataFrame:
     """Add a bigint ``unique_id``.
 
-    With ``id_column`` the given key is used. Otherwise an id is taken from the
-    scan position (``monotonically_increasing_id`` right after the read): it is
-    stable under task retry because a file split always yields the same rows in
-    the same order; the prepared table is then written, which fixes it.
+    With ``id_column`` the given key is used. Otherwise the id is the first 60 bits of
+    SHA-256(content key, ordinal), the ordinal counting the copies of a row: the same rows get
+    the same ids however files are split. Copies are counted in ``salts`` parts with offsets
+    between them, so a row that makes up a third of the table is not one task.
     """
-    uid = F.col(id_column).cast("bigint") if id_column else F.monotonically_increasing_id()
-    return df.withColumn("unique_id", uid)
+    if id_column:
+        return df.withColumn("unique_id", F.col(id_column).cast("bigint"))
+    keyed = df.withColumn("__key", content_key(df)).withColumn(
+        "__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    sizes = keyed.groupBy("__key", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    order = W.partitionBy("__key").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("__key", "__salt", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
+    number = F.row_number().over(W.partitionBy("__key", "__salt").orderBy(F.lit(0))) - 1
+    ranked = keyed.withColumn("__number", number).join(before, ["__key", "__salt"])
+    named = F.sha2(F.concat_ws(":", "__key", F.col("__before") + F.col("__number")).cast("binary"), 256)
+    uid = F.conv(F.substring(named, 1, 15), 16, 10).cast("bigint")
+    return ranked.withColumn("unique_id", uid).drop("__key", "__salt", "__before", "__number")
 
 
 def _source_column(columns: list[str], field: str) -> str | None:

@@ -44,6 +44,17 @@ def attach_term_frequencies(pairs: DataFrame, records: DataFrame, columns: list[
     return pairs
 
 
+def with_term_frequencies(profiles: DataFrame, columns: list[str]) -> DataFrame:
+    """Profiles with ``tf_<col>``: the share of records holding their value, from the profiles'
+    counts. Pairs formed from them carry both sides' figures without a join on a hot value."""
+    for c in columns:
+        held = profiles.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("n").alias("_nv"))
+        total = held.agg(F.sum("_nv").alias("t")).collect()[0]["t"] or 1
+        tf = held.select(F.col(c).alias(f"_v_{c}"), (F.col("_nv") / F.lit(total)).alias(f"tf_{c}"))
+        profiles = profiles.join(tf, F.col(c) == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    return profiles
+
+
 def match_weight(model: Model, tf_columns: list[str] = ()) -> Column:
     prior = model.prior
     w = F.lit(math.log2(prior / (1.0 - prior)))

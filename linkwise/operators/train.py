@@ -2,11 +2,10 @@
 
 * u for ``exact`` comparisons has a closed form over value counts
   (sum of C(n_v, 2) over C(n, 2)) and needs no pairs; other comparisons use a
-  pseudo-random pair sample of bounded size (``random_pairs``).
-* EM runs on agreement-pattern counts. Pairs -> counts is a Spark
-  aggregation; the table it yields has at most prod(levels + 1) rows, a bound
-  known from the spec before any job runs, so the update loop runs on that
-  small table in the driver.
+  random pair sample of bounded size (``random_pairs``).
+* EM runs on agreement-pattern counts, which Spark aggregates. A small table goes to the
+  driver; a table of more than ``DRIVER_PATTERNS`` possible rows stays in Spark, where each
+  iteration is one aggregate to a single row. Both give the same updates.
 """
 
 from __future__ import annotations
@@ -19,32 +18,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.functions.constants import TRAINING_RULE_COLUMNS, TRAINING_RULES
 from linkwise.operators.blocking import rule_pairs
 from linkwise.operators.compare import compare
 from linkwise.plans.spec import BlockingRule, Comparison, MatchSpec
+from linkwise.session import materialize
 
 PROBABILITY_FLOOR = 1e-6
-MAX_PATTERNS = 100_000
-# MINSTD (Lehmer) generator constants: the sampler's pseudo-random hash is
-# plain bigint arithmetic, reproducible in any SQL engine
-_LEHMER_A = 48271
-_LEHMER_M = 2147483647
+#: Possible agreement patterns up to which the counts are brought to the driver.
+DRIVER_PATTERNS = 100_000
+HASH_RANGE = 2**32
+#: Parts in which the one bucket of an all-pairs sample is joined.
+SINGLE_BUCKET_PARTS = 16
 
 
-def lehmer(c, rounds: int = 1):
-    """Deterministic pseudo-random non-negative int from a bigint column."""
-    x = F.pmod(c, F.lit(_LEHMER_M))
-    for _ in range(rounds):
-        x = F.pmod(x * F.lit(_LEHMER_A) + F.lit(1), F.lit(_LEHMER_M))
-    return x
+def id_hash(column, seed: str):
+    """32 mixed bits of an id; different seeds give independent values (md5, so any SQL engine can repeat it)."""
+    digest = F.md5(F.concat(column.cast("string"), F.lit(f"/{seed}")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
 def sampling_plan(n_records: int, max_pairs: int) -> tuple[float, int]:
-    """(record sample fraction, number of buckets) for about ``max_pairs``.
+    """(share of records kept, number of buckets) for about ``max_pairs``.
 
     All pairs when they fit the budget; otherwise about 2*max_pairs records
-    are kept and spread over buckets so that pairs ~= max_pairs.
+    are kept and spread over buckets so that pairs ~= max_pairs in expectation.
     """
     total = n_records * (n_records - 1) // 2
     if total <= max_pairs:
@@ -56,22 +53,24 @@ def sampling_plan(n_records: int, max_pairs: int) -> tuple[float, int]:
 
 def random_pairs(records: DataFrame, columns: list[str], max_pairs: int,
                  n_records: int | None = None) -> DataFrame:
-    """Pseudo-random record pairs (``<col>_l``, ``<col>_r``), about ``max_pairs``.
+    """Random record pairs (``<col>_l``, ``<col>_r``), about ``max_pairs``.
 
-    Records are kept by a hash of ``unique_id`` and paired within hash buckets:
-    an equi-join whose buckets are small by construction (no hot key, no
-    cross join); the same ids give the same sample on every run and retry.
-    When all pairs fit the budget there is one bucket, whose work is bounded
-    by ``max_pairs``.
+    Whether a record is kept and which bucket it joins are independent hashes of
+    ``unique_id``, so every pair of records has the same chance; the same ids give
+    the same sample on every run and retry. Buckets are small (an equi-join without a
+    hot key). When all pairs fit the budget there is one bucket, which is joined in
+    ``SINGLE_BUCKET_PARTS`` parts.
     """
     n = n_records if n_records is not None else records.count()
     fraction, buckets = sampling_plan(n, max_pairs)
-    keep = lehmer(F.col("unique_id"), 1) < F.lit(int(fraction * _LEHMER_M))
-    bucket = F.pmod(lehmer(F.col("unique_id"), 2), F.lit(buckets))
-    sample = records.select("unique_id", *columns).where(keep).withColumn("_bucket", bucket)
-    l = sample.alias("l")
-    r = sample.alias("r")
-    joined = l.join(r, (F.col("l._bucket") == F.col("r._bucket")) & (F.col("l.unique_id") < F.col("r.unique_id")))
+    uid = F.col("unique_id")
+    sample = records.select("unique_id", *columns).where(id_hash(uid, "keep") < F.lit(int(fraction * HASH_RANGE)))
+    sample = sample.withColumn("_bucket", F.pmod(id_hash(uid, "bucket"), F.lit(buckets)))
+    parts = SINGLE_BUCKET_PARTS if buckets == 1 else 1
+    l = sample.withColumn("_part", F.pmod(id_hash(uid, "part"), F.lit(parts)).cast("int")).alias("l")
+    r = sample.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("r")
+    joined = l.join(r, (F.col("l._bucket") == F.col("r._bucket")) & (F.col("l._part") == F.col("r._part"))
+                    & (F.col("l.unique_id") < F.col("r.unique_id")))
     cols = [F.col("l.unique_id").alias("unique_id_l"), F.col("r.unique_id").alias("unique_id_r")]
     for c in columns:
         cols += [F.col(f"l.{c}").alias(f"{c}_l"), F.col(f"r.{c}").alias(f"{c}_r")]
@@ -112,7 +111,7 @@ def level_shares(gammas: DataFrame, comparisons: list[Comparison], weight: str |
 
 def estimate_u(records: DataFrame, comparisons: list[Comparison], max_pairs: int,
                n_records: int | None = None) -> dict[str, np.ndarray]:
-    """u per comparison and level (index = gamma), floored at 1e-6."""
+    """u per comparison and level (index = gamma); floored, summing to 1."""
     out: dict[str, np.ndarray] = {}
     exact = [c for c in comparisons if c.kind == "exact"]
     other = [c for c in comparisons if c.kind != "exact"]
@@ -128,9 +127,13 @@ def estimate_u(records: DataFrame, comparisons: list[Comparison], max_pairs: int
         cols = list(dict.fromkeys(c.column for c in other))
         sample = compare(random_pairs(records, cols, max_pairs, n_records), other)
         out.update(level_shares(sample, other))
-    for k, v in out.items():
-        out[k] = np.where(np.isnan(v), PROBABILITY_FLOOR, np.maximum(v, PROBABILITY_FLOOR))
-    return out
+    return {k: floored(np.where(np.isnan(v), 0.0, v)) for k, v in out.items()}
+
+
+def floored(shares: np.ndarray) -> np.ndarray:
+    """Shares of at least ``PROBABILITY_FLOOR`` that sum to 1."""
+    v = np.maximum(shares, PROBABILITY_FLOOR)
+    return v / v.sum()
 
 
 def pattern_counts(gammas: DataFrame, comparisons: list[Comparison]) -> DataFrame:
@@ -154,45 +157,29 @@ class EMResult:
     history: list[float] = field(default_factory=list)
 
 
-def expectation_maximisation(patterns: pd.DataFrame, comparisons: list[Comparison],
-                             u: dict[str, np.ndarray], max_iterations: int = 20,
-                             convergence: float = 0.001, lam: float = 0.5,
-                             m: dict[str, np.ndarray] | None = None) -> EMResult:
-    """EM over pattern counts; u is fixed, m and lambda are estimated."""
-    m = {c.column: (m or {}).get(c.column, start_m(c)).astype(float).copy() for c in comparisons}
-    counts = patterns["pair_count"].to_numpy(dtype=float)
-    gam = {c.column: patterns[c.gamma].to_numpy(dtype=int) for c in comparisons}
-    total = counts.sum()
-    history = []
+def next_m(old: np.ndarray, mass: np.ndarray, observed: np.ndarray) -> np.ndarray:
+    """Shares of the posterior mass; a level that no pair shows keeps its value."""
+    if mass.sum() <= 0:
+        return old
+    kept = np.where(observed > 0, 0.0, old)
+    return kept + (1.0 - kept.sum()) * mass / mass.sum()
+
+
+def em_loop(sums, comparisons: list[Comparison], max_iterations: int, convergence: float, lam: float,
+            m: dict[str, np.ndarray] | None, observed: dict[str, np.ndarray], total: float) -> EMResult:
+    """EM with fixed u. ``sums(m, lam)`` gives the posterior mass of all pairs, of each
+    level of each comparison, and the log likelihood."""
+    m = {c.column: np.asarray((m or {}).get(c.column, start_m(c)), float).copy() for c in comparisons}
+    history: list[float] = []
     it, converged = 0, False
     if total <= 0:
         return EMResult(m, lam, 0, False, history)
     for it in range(1, max_iterations + 1):
-        pm = np.ones_like(counts)
-        pu = np.ones_like(counts)
-        for c in comparisons:
-            g = gam[c.column]
-            seen = g >= 0
-            pm = np.where(seen, pm * m[c.column][np.clip(g, 0, None)], pm)
-            pu = np.where(seen, pu * u[c.column][np.clip(g, 0, None)], pu)
-        num = lam * pm
-        den = num + (1.0 - lam) * pu
-        post = np.divide(num, den, out=np.zeros_like(num), where=den > 0)
-        wpost = counts * post
-        history.append(float(np.sum(counts * np.log(np.where(den > 0, den, 1.0)))))
-        delta = 0.0
-        new_m = {}
-        for c in comparisons:
-            g = gam[c.column]
-            denom = wpost[g >= 0].sum()
-            if denom <= 0:
-                new_m[c.column] = m[c.column]
-                continue
-            mk = np.array([wpost[g == k].sum() for k in range(c.n_levels)]) / denom
-            delta = max(delta, float(np.max(np.abs(mk - m[c.column]))))
-            new_m[c.column] = mk
-        new_lam = float(wpost.sum() / total)
-        delta = max(delta, abs(new_lam - lam))
+        matched, masses, likelihood = sums(m, lam)
+        history.append(likelihood)
+        new_m = {c.column: next_m(m[c.column], masses[c.column], observed[c.column]) for c in comparisons}
+        new_lam = matched / total
+        delta = max([abs(new_lam - lam)] + [float(np.max(np.abs(new_m[k] - m[k]))) for k in m])
         m, lam = new_m, new_lam
         if delta < convergence:
             converged = True
@@ -200,6 +187,64 @@ def expectation_maximisation(patterns: pd.DataFrame, comparisons: list[Compariso
     return EMResult(m, lam, it, converged, history)
 
 
+def expectation_maximisation(patterns: pd.DataFrame, comparisons: list[Comparison],
+                             u: dict[str, np.ndarray], max_iterations: int = 20,
+                             convergence: float = 0.001, lam: float = 0.5,
+                             m: dict[str, np.ndarray] | None = None) -> EMResult:
+    """EM over a small table of pattern counts; u is fixed, m and lambda are estimated."""
+    counts = patterns["pair_count"].to_numpy(dtype=float)
+    gam = {c.column: patterns[c.gamma].to_numpy(dtype=int) for c in comparisons}
+
+    def by_level(weights):
+        return {c.column: np.array([weights[gam[c.column] == k].sum() for k in range(c.n_levels)]) for c in comparisons}
+
+    def sums(m, lam):
+        pm, pu = np.full(len(counts), lam), np.full(len(counts), 1.0 - lam)
+        for c in comparisons:
+            g = gam[c.column]
+            at = np.clip(g, 0, None)
+            pm = np.where(g >= 0, pm * m[c.column][at], pm)
+            pu = np.where(g >= 0, pu * u[c.column][at], pu)
+        both = pm + pu
+        post = counts * np.divide(pm, both, out=np.zeros_like(pm), where=both > 0)
+        return float(post.sum()), by_level(post), float(np.sum(counts * np.log(np.where(both > 0, both, 1.0))))
+
+    return em_loop(sums, comparisons, max_iterations, convergence, lam, m, by_level(counts), float(counts.sum()))
+
+
+def expectation_maximisation_spark(patterns: DataFrame, comparisons: list[Comparison], u: dict[str, np.ndarray],
+                                   max_iterations: int = 20, convergence: float = 0.001, lam: float = 0.5,
+                                   m: dict[str, np.ndarray] | None = None) -> EMResult:
+    """The same EM over a pattern table of any size: one aggregate per iteration."""
+
+    def level_value(c, values):
+        expr = F.lit(1.0)
+        for k in range(c.n_levels):
+            expr = F.when(F.col(c.gamma) == k, F.lit(float(values[k]))).otherwise(expr)
+        return expr
+
+    def by_level(weight):
+        return [F.sum(F.when(F.col(c.gamma) == k, weight).otherwise(0.0)).alias(f"{c.gamma}__{k}")
+                for c in comparisons for k in range(c.n_levels)]
+
+    def split(row):
+        return {c.column: np.array([float(row[f"{c.gamma}__{k}"] or 0.0) for k in range(c.n_levels)])
+                for c in comparisons}
+
+    def sums(m, lam):
+        pm, pu = F.lit(float(lam)), F.lit(1.0 - float(lam))
+        for c in comparisons:
+            pm, pu = pm * level_value(c, m[c.column]), pu * level_value(c, u[c.column])
+        post = F.when(F.col("_pm") + F.col("_pu") > 0, F.col("pair_count") * F.col("_pm") / (F.col("_pm") + F.col("_pu")))
+        likelihood = F.when(F.col("_pm") + F.col("_pu") > 0, F.col("pair_count") * F.log(F.col("_pm") + F.col("_pu")))
+        row = patterns.withColumns({"_pm": pm, "_pu": pu}).agg(
+            F.sum(post).alias("matched"), F.sum(likelihood).alias("likelihood"), *by_level(post)).collect()[0]
+        return float(row["matched"] or 0.0), split(row), float(row["likelihood"] or 0.0)
+
+    first = patterns.agg(F.sum("pair_count").alias("total"), *by_level(F.col("pair_count"))).collect()[0]
+    return em_loop(sums, comparisons, max_iterations, convergence, lam, m, split(first), float(first["total"] or 0.0))
+
+
 @dataclass
 class Model:
     comparisons: list[Comparison]
@@ -219,54 +264,69 @@ class Model:
         return spark.createDataFrame(rows, "column string, kind string, gamma int, m double, u double, weight double")
 
 
+class NoEstimate(ValueError):
+    """The data give a training rule nothing to estimate from."""
+
+
 def training_rules(spec: MatchSpec, columns: list[str]) -> list[str]:
-    rules = list(spec.training_rules) or list(TRAINING_RULES)
-    if all(c in columns for c in TRAINING_RULE_COLUMNS):
-        return rules
-    return [r for r in rules if all(c in columns for c in BlockingRule(r).columns())]
+    """The effective rules that read only columns at hand."""
+    return [r for r in spec.effective_training_rules() if all(c in columns for c in BlockingRule(r).columns())]
+
+
+def session_patterns(profiles: DataFrame, rule: str, included: list[Comparison], spec: MatchSpec) -> DataFrame:
+    """Pattern counts of a rule's pairs. Profiles are first summed over what the session
+    does not read, so its join sees each combination of key and compared values once."""
+    needed = list(dict.fromkeys(BlockingRule(rule).columns() + [c.column for c in included]))
+    merged = profiles.groupBy(*needed).agg(F.min("rep_id").alias("rep_id"), F.sum("n").alias("n"))
+    pairs = rule_pairs(merged, rule, list(dict.fromkeys(c.column for c in included)),
+                       salt_block_size=spec.salt_block_size)
+    return pattern_counts(compare(pairs, included), included)
 
 
 def em_session(profiles: DataFrame, rule: str, comparisons: list[Comparison], u: dict[str, np.ndarray],
-               spec: MatchSpec) -> tuple[EMResult | None, list[Comparison]]:
-    """One EM session on the pairs of ``rule``; its key columns are left out."""
+               spec: MatchSpec) -> tuple[EMResult, list[Comparison]]:
+    """One EM session on the pairs of ``rule``; its key columns are left out.
+
+    Raises ``NoEstimate`` if no comparison is left or the rule finds no pair.
+    """
     keys = set(BlockingRule(rule).equi_keys())
     included = [c for c in comparisons if c.column not in keys]
     if not included:
-        return None, included
-    bound = 1
-    for c in included:
-        bound *= c.n_levels + 1
-    if bound > MAX_PATTERNS:
-        raise ValueError(f"{bound} possible agreement patterns exceed {MAX_PATTERNS}")
-    pairs = rule_pairs(profiles, rule, list(dict.fromkeys(c.column for c in included)),
-                       salt_block_size=spec.salt_block_size)
-    pats = pattern_counts(compare(pairs, included), included).toPandas()
-    return expectation_maximisation(pats, included, u, spec.max_iterations, spec.em_convergence), included
+        raise NoEstimate("every comparison is a key of the rule")
+    possible = math.prod(c.n_levels + 1 for c in included)
+    patterns = session_patterns(profiles, rule, included, spec)
+    if possible <= DRIVER_PATTERNS:
+        result = expectation_maximisation(patterns.toPandas(), included, u, spec.max_iterations, spec.em_convergence)
+    else:
+        result = expectation_maximisation_spark(materialize(patterns, "patterns"), included, u, spec.max_iterations,
+                                                spec.em_convergence)
+    if not result.iterations:
+        raise NoEstimate("the rule finds no pairs")
+    return result, included
 
 
 def train(records: DataFrame, profiles: DataFrame, spec: MatchSpec, n_records: int | None = None) -> Model:
-    """u by sampling, then one EM session per training rule; a failing session
-    is recorded in ``skipped`` and the others go on. m per level is the median
-    over the sessions that estimated it, else its start value."""
+    """u by sampling, then one EM session per training rule.
+
+    A rule whose columns are absent or that leaves nothing to estimate is named in ``skipped``;
+    any other failure is raised. m per level is the median over the sessions that
+    estimated it, brought back to a sum of 1, else its start value.
+    """
     comparisons = [c for c in spec.comparisons if c.column in records.columns]
     u = estimate_u(records, comparisons, spec.max_pairs_for_training, n_records)
     estimates: dict[str, list[np.ndarray]] = {c.column: [] for c in comparisons}
-    sessions, skipped = [], []
-    for rule in training_rules(spec, records.columns):
+    usable = training_rules(spec, profiles.columns)
+    sessions, skipped = [], [f"{r}: a column is absent" for r in spec.effective_training_rules() if r not in usable]
+    for rule in usable:
         try:
             result, included = em_session(profiles, rule, comparisons, u, spec)
-        except Exception as exc:  # a failed session is skipped, as documented
+        except NoEstimate as exc:
             skipped.append(f"{rule}: {exc}")
             continue
-        if result is None:
-            continue
         sessions.append({"rule": rule, "iterations": result.iterations, "lambda": result.lam,
                          "converged": result.converged})
         for c in included:
             estimates[c.column].append(result.m[c.column])
-    m = {}
-    for c in comparisons:
-        est = estimates[c.column]
-        mk = np.median(np.vstack(est), axis=0) if est else start_m(c)
-        m[c.column] = np.maximum(mk, PROBABILITY_FLOOR)
+    m = {c.column: floored(np.median(np.vstack(estimates[c.column]), axis=0) if estimates[c.column] else start_m(c))
+         for c in comparisons}
     return Model(comparisons, m, u, spec.prior_match, sessions, skipped)

@@ -33,7 +33,6 @@ from linkwise.operators.prepare import (
     prepare,
     to_model,
     validate_rows,
-    validate_schema,
     with_unique_id,
 )
 from linkwise.operators.score import attach_term_frequencies, score, term_frequencies
@@ -48,10 +47,11 @@ from linkwise.operators.train import (
     u_exact,
 )
 from linkwise.plans import oracle as O
-from linkwise.plans.pipeline import build_profiles, deduplicate, run_deduplication
+from linkwise.plans import oracle_model as OM
+from linkwise.plans.pipeline import prepare_data, run_deduplication, run_file
 from linkwise.plans.spec import Comparison, MatchSpec, preset_strict, spec_fuzzy
 from linkwise.session import work_path
-from linkwise.sources.fixture import provider_records
+from linkwise.sources.fixture import odd_records, provider_records
 from linkwise.sources.reader import load, load_multiple
 from linkwise.sources.writer import save, save_report
 
@@ -282,7 +282,35 @@ def q_k5_report(spark, d):
     return spark.read.parquet(out["summary"])
 
 
+def q_s2_csv_text(spark, d):
+    """Texts with quotes, commas, line feeds and blanks through CSV and back."""
+    path = work_path(spark, "s2text") + ".csv"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang", "source")
+    save(docs, path)
+    return load(spark, path)
+
+
+def q_k1_save(spark, d):
+    """The sink picked by suffix: the same records through all three formats, and back."""
+    base, df = work_path(spark, "k1"), raw(spark, d)
+    out = None
+    for suffix in ("csv", "parquet", "json"):
+        path = f"{base}/records.{suffix}"
+        save(df, path)
+        back = spark.read.schema(df.schema).json(path + "/records") if suffix == "json" else load(spark, path)
+        rows = back.select(F.lit(suffix).alias("format"), *[F.col(c).cast("string").alias(c) for c in (
+            "rid", "npi", "lastname", "address1")])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+K1_SQL = (f"WITH {O.RAW} SELECT f AS format, CAST(rid AS VARCHAR) AS rid, npi, lastname, address1 FROM raw, "
+          "(SELECT unnest(['csv', 'parquet', 'json']) AS f)")
+
+
 SOURCES = {
+    "k1_save": (q_k1_save, K1_SQL),
+    "s2_csv_text": (q_s2_csv_text, "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents"),
     "s1_load": (q_s1_load, "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, "
                            "CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer"),
     "s2_csv": (q_s2_csv, f"WITH {O.RAW} SELECT {RAW_CSV} FROM raw"),
@@ -298,7 +326,6 @@ SOURCES = {
     "k4_json_sink": (q_k4_json_sink, "K4_PLACEHOLDER"),
     "k5_report": (q_k5_report, "K5_PLACEHOLDER"),
 }
-SOURCES["u1_concat"] = SOURCES["s5_multi"]
 
 # ---------------------------------------------------------------------------
 # projections, validation, normalization
@@ -309,13 +336,24 @@ def _model(spark, d):
     return to_model(with_unique_id(raw(spark, d), "rid"))
 
 
-def _flag(fn):
+def _flag(fn, source=None):
     def q(spark, d):
-        m = _model(spark, d)
+        m = to_model(with_unique_id((source or raw)(spark, d), "rid"))
         return m.select("unique_id", fn(m).alias("ok"))
     return q
 
 
+def _odd_flag(fn):
+    """A rule over the records with faults, where it has both outcomes."""
+    return _flag(fn, odd_records)
+
+
+def q_p3_required(spark, d):
+    """Messages of missing required fields in the records with faults."""
+    v = validate_rows(with_unique_id(odd_records(spark, d), "rid"))
+    return v.select("unique_id", F.array_join("errors", "; ").alias("errors"))
+
+
 MODEL_SEL = ("rid AS unique_id, npi, group_npi, group_name, specialty, first_name, middle_name, last_name, "
              "CAST(NULL AS VARCHAR) AS address_type, address_line_1, CAST(NULL AS VARCHAR) AS address_line_2, "
              "city, state, postal_code, phone, address_status, phone_status")
@@ -342,8 +380,12 @@ def _len_ok_sql():
     return " AND ".join(parts)
 
 
-def _sel_model(expr_sql: str) -> str:
-    return f"WITH {O.RAW}, {O.MODEL} SELECT rid AS unique_id, {expr_sql} AS ok FROM model"
+def _sel_model(expr_sql: str, source: str = O.RAW) -> str:
+    return f"WITH {source}, {O.MODEL} SELECT rid AS unique_id, {expr_sql} AS ok FROM model"
+
+
+def _odd_model(expr_sql: str) -> str:
+    return _sel_model(expr_sql, O.ODD)
 
 
 def q_p11_quarantine(spark, d):
@@ -352,17 +394,22 @@ def q_p11_quarantine(spark, d):
 
 
 def q_p12_batch_check(spark, d):
-    return batch_check(raw(spark, d))
+    return batch_check(odd_records(spark, d))
 
 
-def q_p13_schema_check(spark, d):
-    return validate_schema(raw(spark, d), ["npi", "firstname", "lastname", "address1", "address2", "zipcode"],
-                           {"rid": "string", "npi": "string"})
+P14_COLUMNS = ["npi", "firstname", "lastname", "city"]
 
 
 def q_p14_surrogate_key(spark, d):
-    df = with_unique_id(raw(spark, d))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("unique_id").alias("n_ids"))
+    """Keys from content and ordinal; the four columns have copies."""
+    df = raw(spark, d).select(*P14_COLUMNS)
+    return with_unique_id(df).select("unique_id", *P14_COLUMNS)
+
+
+P14_SQL = (f"WITH {O.RAW}, keyed AS (SELECT {', '.join(P14_COLUMNS)}, sha256(concat_ws(chr(31), "
+           + ", ".join(f"coalesce({c}, chr(30))" for c in P14_COLUMNS) + ")) AS k FROM raw), numbered AS (SELECT *, "
+           "row_number() OVER (PARTITION BY k) - 1 AS o FROM keyed) SELECT CAST('0x' || substr(sha256(k || ':' || o), 1, 15) "
+           f"AS BIGINT) AS unique_id, {', '.join(P14_COLUMNS)} FROM numbered")
 
 
 def _norm_q(cols: dict[str, str]):
@@ -407,34 +454,32 @@ VALIDATION = {
     "p1_rename": (lambda s, d: _model(s, d), f"WITH {O.RAW}, {O.MODEL} SELECT {MODEL_SEL} FROM model"),
     "p2_null_tokens": (lambda s, d: _model(s, d).select("unique_id", "phone", "group_npi"),
                        f"WITH {O.RAW}, {O.MODEL} SELECT rid AS unique_id, phone, group_npi FROM model"),
-    "p4_npi_format": (_flag(lambda m: F.coalesce(V.npi_format_ok(F.col("npi")), F.lit(False))),
-                      _sel_model(f"coalesce({O.ten('npi')}, false)")),
+    "p3_required": (q_p3_required, f"WITH {O.ODD}, {O.MODEL}, {O.CHECKED} SELECT rid AS unique_id, errors FROM checked"),
+    "p4_npi_format": (_odd_flag(lambda m: F.coalesce(V.npi_format_ok(F.col("npi")), F.lit(False))),
+                      _odd_model(f"coalesce({O.ten('npi')}, false)")),
     "p5_npi_checksum": (_flag(lambda m: F.coalesce(V.npi_checksum_ok(F.col("npi")), F.lit(False))
                               & F.coalesce(V.npi_checksum_ok(F.col("group_npi")), F.col("group_npi").isNull())),
                         _sel_model(f"coalesce({O.ten('npi')} AND {O.luhn_ok('npi')}, false) AND "
                                    f"coalesce({O.ten('group_npi')} AND {O.luhn_ok('group_npi')}, group_npi IS NULL)")),
-    "p6_lengths": (_flag(_len_ok_spark), _sel_model(_len_ok_sql())),
+    "p6_lengths": (_odd_flag(_len_ok_spark), _odd_model(_len_ok_sql())),
     "p7_state": (_flag(lambda m: F.coalesce(F.upper("state").rlike(V.STATE_PATTERN), F.lit(False))),
                  _sel_model("coalesce(regexp_full_match(upper(state), '[A-Z]{2}'), false)")),
     "p8_postal": (_flag(lambda m: F.coalesce(F.col("postal_code").rlike(V.POSTAL_PATTERN), F.lit(False))),
                   _sel_model("coalesce(regexp_full_match(postal_code, '[0-9]{5}(-[0-9]{4})?'), false)")),
-    "p9_phone": (_flag(lambda m: F.col("phone").isNull() | F.col("phone").rlike(V.PHONE_PATTERN)),
-                 _sel_model("(phone IS NULL OR regexp_full_match(phone, '[0-9]{10,}'))")),
-    "p10_enums": (_flag(lambda m: F.coalesce(F.lower("address_status").isin(*V.ENUMS["address_status"][0])
+    "p9_phone": (_odd_flag(lambda m: F.col("phone").isNull() | F.col("phone").rlike(V.PHONE_PATTERN)),
+                 _odd_model("(phone IS NULL OR regexp_full_match(phone, '[0-9]{10,}'))")),
+    "p10_enums": (_odd_flag(lambda m: F.coalesce(F.lower("address_status").isin(*V.ENUMS["address_status"][0])
                                              & F.lower("phone_status").isin(*V.ENUMS["phone_status"][0]), F.lit(False))),
-                  _sel_model("coalesce(lower(address_status) IN ('verified','inconclusive','invalid','no') AND "
+                  _odd_model("coalesce(lower(address_status) IN ('verified','inconclusive','invalid','no') AND "
                              "lower(phone_status) IN ('verified','inconclusive','invalid','no'), false)")),
     "p11_quarantine": (q_p11_quarantine, f"WITH {O.RAW}, {O.MODEL}, {O.CHECKED} "
                                          f"SELECT rid AS unique_id, errors FROM checked WHERE errors <> ''"),
-    "p12_batch_check": (q_p12_batch_check, f"WITH {O.RAW} SELECT message FROM (SELECT CASE WHEN count(*) = 0 THEN "
+    "p12_batch_check": (q_p12_batch_check, f"WITH {O.ODD} SELECT message FROM (SELECT CASE WHEN count(*) = 0 THEN "
                                            "'Input data is empty' END AS message FROM raw UNION ALL SELECT CASE WHEN "
                                            "count_if(npi IS NULL OR NOT regexp_full_match(npi, '[0-9]{10}')) > 0 THEN "
                                            "'Found ' || count_if(npi IS NULL OR NOT regexp_full_match(npi, '[0-9]{10}')) "
                                            "|| ' invalid NPI values' END FROM raw) WHERE message IS NOT NULL"),
-    "p13_schema_check": (q_p13_schema_check, f"WITH {O.RAW} SELECT message FROM (SELECT 'Missing required columns: "
-                                             "address2' AS message UNION ALL SELECT 'Column ''rid'' has type bigint, "
-                                             "expected string') WHERE (SELECT count(*) FROM raw) >= 0"),
-    "p14_surrogate_key": (q_p14_surrogate_key, f"WITH {O.RAW} SELECT count(*) AS n_rows, count(*) AS n_ids FROM raw"),
+    "p14_surrogate_key": (q_p14_surrogate_key, P14_SQL),
     "p15_prepared": (lambda s, d: prepare(raw(s, d), "rid")[0], O.with_ctes(select="SELECT * FROM prepared")),
     "n1_name": (_norm_q(NORM_NAME), _norm_sql(NORM_NAME)),
     "n2_address": (_norm_q(NORM_ADDR), _norm_sql(NORM_ADDR)),
@@ -446,7 +491,6 @@ VALIDATION = {
     "n8_phone_length": (q_n8_phone_length, O.with_ctes(select="SELECT unique_id, length(phone) >= 10 AS long_phone "
                                                               "FROM prepared")),
 }
-VALIDATION["c8_prepare"] = VALIDATION["p15_prepared"]
 
 # ---------------------------------------------------------------------------
 # blocking and comparison
@@ -542,29 +586,6 @@ def q_a17_u_sampled(spark, d):
     return out
 
 
-def _lehmer_sql(x: str, rounds: int) -> str:
-    y = f"({x} % 2147483647)"
-    for _ in range(rounds):
-        y = f"(({y} * 48271 + 1) % 2147483647)"
-    return y
-
-
-def _sample_sql(columns) -> list[str]:
-    cols = ", ".join(["unique_id"] + list(columns))
-    plan = ("plan AS (SELECT n, CASE WHEN n * (n - 1) / 2 <= {M} THEN 1 ELSE "
-            "greatest(1, CAST(ceil(least(n, 2 * {M}) * least(n, 2 * {M}) / (2.0 * {M})) AS BIGINT)) END AS buckets, "
-            "CASE WHEN n * (n - 1) / 2 <= {M} THEN 2147483647 ELSE "
-            "CAST(least(n, 2 * {M}) * 1.0 / n * 2147483647 AS BIGINT) END AS cut FROM (SELECT count(*) AS n FROM prepared))"
-            ).format(M=SAMPLE_PAIRS)
-    sample = (f"sample AS (SELECT {cols}, {_lehmer_sql('unique_id', 2)} % (SELECT buckets FROM plan) AS bucket "
-              f"FROM prepared WHERE {_lehmer_sql('unique_id', 1)} < (SELECT cut FROM plan))")
-    sel = ", ".join(["l.unique_id AS unique_id_l", "r.unique_id AS unique_id_r"]
-                    + [f"l.{c} AS {c}_l, r.{c} AS {c}_r" for c in columns])
-    spairs = (f"spairs AS (SELECT {sel} FROM sample l JOIN sample r ON l.bucket = r.bucket "
-              f"AND l.unique_id < r.unique_id)")
-    return [plan, sample, spairs]
-
-
 def _u_sampled_sql() -> str:
     comps = GAMMA_COMPS[1:]
     cols = list(dict.fromkeys(c.column for c in comps))
@@ -573,7 +594,7 @@ def _u_sampled_sql() -> str:
         g = O.gamma_sql(c, c.column + "_l", c.column + "_r")
         parts.append(f"SELECT 'g{i}_{c.column}' AS comparison, gamma, count(*) AS n FROM "
                      f"(SELECT {g} AS gamma FROM spairs) GROUP BY gamma")
-    return _sql(*_sample_sql(cols), select=" UNION ALL ".join(parts))
+    return _sql(*OM.sample_ctes(cols, SAMPLE_PAIRS), select=" UNION ALL ".join(parts))
 
 
 def _u_exact_table_sql() -> str:
@@ -620,7 +641,7 @@ BLOCKING = {
         PRESET.blocking_rules[0].sql, []) + ")", select="SELECT rep_id_l, rep_id_r, pair_count, match_key FROM pairs")),
     "j3_multi_rule": (q_j3_multi_rule, _pairs_only_sql(_pairs_sql([]))),
     "j5_training_pairs": (q_j5_training_pairs, _training_pairs_sql()),
-    "j6_random_pairs": (q_j6_random_pairs, _sql(*_sample_sql([]), select="SELECT unique_id_l, unique_id_r FROM spairs")),
+    "j6_random_pairs": (q_j6_random_pairs, _sql(*OM.sample_ctes([], SAMPLE_PAIRS), select="SELECT unique_id_l, unique_id_r FROM spairs")),
     "j7_tf_join": (q_j7_tf_join, _tf_sql()),
     "j9_exact": (_gamma_q([GAMMA_COMPS[0]]), _gamma_sql([GAMMA_COMPS[0]])),
     "j10_levenshtein": (_gamma_q([GAMMA_COMPS[1]]), _gamma_sql([GAMMA_COMPS[1]])),
@@ -696,7 +717,10 @@ def q_c6_preset(spark, d):
 
 
 def q_c5_pipeline(spark, d):
-    r = run_deduplication(raw(spark, d), FUZZY, id_column="rid", persist=True)
+    """The whole pipeline from a file path: the raw records are written as CSV and loaded from there."""
+    path = work_path(spark, "c5") + ".csv"
+    save(raw(spark, d), path)
+    r = run_file(path, spark, FUZZY, id_column="rid", persist=True)
     return r.results.select("unique_id", "cluster_id", "cluster_size")
 
 
@@ -715,26 +739,8 @@ def q_a18_em(spark, d):
                                   for s in model.sessions], "rule string, iterations int, lambda double, converged boolean")
 
 
-def _preset_sql() -> str:
-    cols = PRESET_COLS
-    prof = O.profiles_cte(cols, "pprof")
-    pairs = "ppairs AS (" + O.rule_pairs_select(PRESET.blocking_rules[0].sql, [], profiles="pprof") + ")"
-    edges = ("edges AS (SELECT rep_id_l AS a, rep_id_r AS b FROM ppairs WHERE rep_id_l <> rep_id_r "
-             "UNION SELECT rep_id_r, rep_id_l FROM ppairs WHERE rep_id_l <> rep_id_r)")
-    ends = ("ends AS (SELECT rep_id_l AS rep_id FROM ppairs UNION SELECT rep_id_r FROM ppairs)")
-    comp = "comp AS (SELECT node AS rep_id, min(c) AS component FROM walk GROUP BY node)"
-    cl = ("clusters AS (SELECT ends.rep_id, coalesce(component, ends.rep_id) AS cluster_rep FROM ends "
-          "LEFT JOIN comp ON ends.rep_id = comp.rep_id)")
-    on = " AND ".join(f"p.{c} IS NOT DISTINCT FROM x.{c}" for c in cols)
-    assigned = ("assigned AS (SELECT x.unique_id, coalesce(k.cluster_rep, x.unique_id) AS cluster_id FROM prepared x "
-                f"LEFT JOIN (SELECT p.*, cluster_rep FROM pprof p JOIN clusters c ON p.rep_id = c.rep_id) k "
-                f"ON {on.replace('p.', 'k.')})")
-    return _with_recursive([prof, pairs, edges, "RECURSIVE_PLACEHOLDER", ends, comp, cl, assigned],
-                           "SELECT unique_id, cluster_id, count(*) OVER (PARTITION BY cluster_id) AS cluster_size "
-                           "FROM assigned")
-
-
 RESULTS_SQL = _results_sql()
+RESULT_SELECT = "SELECT unique_id, cluster_id, cluster_size FROM results"
 
 
 def _res_select(select: str) -> str:
@@ -747,11 +753,41 @@ def _stats_select() -> str:
             "max(cluster_size) AS largest_cluster_size, avg(cluster_size) AS average_cluster_size FROM sizes)")
 
 
+def _tf_score_sql() -> str:
+    tf = ("tf AS (SELECT family_name AS v, count(*) * 1.0 / (SELECT count(*) FROM prepared WHERE family_name IS NOT "
+          "NULL) AS tf FROM prepared WHERE family_name IS NOT NULL GROUP BY family_name)")
+    family = "match_key, family_name_l, family_name_r"
+    ctes = [c.replace("match_key, CAST", f"{family}, CAST", 1) if c.startswith("gammas") else c for c in _scored_sql()]
+    u = f"greatest({_u_exact_sql('family_name')}, 1e-6)"
+    return O.with_ctes(*ctes, tf, select=(
+        "SELECT rep_id_l, rep_id_r, pair_count, match_key, round(match_weight + CASE WHEN gamma_family_name = 1 AND "
+        f"greatest(a.tf, b.tf) IS NOT NULL THEN log2({u} / greatest(a.tf, b.tf)) ELSE 0 END, 6) AS match_weight "
+        "FROM scored LEFT JOIN tf a ON family_name_l = a.v LEFT JOIN tf b ON family_name_r = b.v"))
+
+
+def _long_values(df):
+    """(category, metric, value) with the value as a number, so that both engines write it alike."""
+    return df.select("category", "metric", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+_SIZES = "(SELECT cluster_id, count(*) AS cluster_size FROM results GROUP BY cluster_id)"
+STATISTICS_SQL = (
+    "SELECT category, metric, round(CAST(value AS DOUBLE), 6) AS value FROM ("
+    "SELECT 'clusters_by_size' AS category, CAST(cluster_size AS VARCHAR) AS metric, count(*) AS value "
+    f"FROM {_SIZES} GROUP BY cluster_size "
+    f"UNION ALL SELECT 'General', 'total_records', sum(cluster_size) FROM {_SIZES} "
+    f"UNION ALL SELECT 'General', 'unique_clusters', count(*) FROM {_SIZES} "
+    f"UNION ALL SELECT 'General', 'duplicates_found', sum(cluster_size) - count(*) FROM {_SIZES} "
+    f"UNION ALL SELECT 'General', 'duplication_rate', (sum(cluster_size) - count(*)) * 1.0 / sum(cluster_size) FROM {_SIZES} "
+    f"UNION ALL SELECT 'General', 'largest_cluster_size', max(cluster_size) FROM {_SIZES} "
+    f"UNION ALL SELECT 'General', 'average_cluster_size', avg(cluster_size) FROM {_SIZES})")
+
+
 SCORING = {
     "c1_predict": (q_c1_predict, O.with_ctes(*_scored_sql(), select=(
         "SELECT rep_id_l, rep_id_r, pair_count, match_key, round(match_weight, 6) AS match_weight, "
         "round(match_probability, 6) AS match_probability FROM scored"))),
-    "c3_tf_adjust": (q_c3_tf_adjust, None),
+    "c3_tf_adjust": (q_c3_tf_adjust, _tf_score_sql()),
     "p17_threshold": (q_p17_threshold, O.with_ctes(*_scored_sql(), select=(
         f"SELECT rep_id_l, rep_id_r FROM scored WHERE match_probability >= {SCORE_THRESHOLD}"))),
     "c2_clusters": (q_c2_clusters, _with_recursive(_clusters_sql(), "SELECT rep_id, cluster_rep, "
@@ -798,10 +834,7 @@ SCORING = {
                        _res_select("SELECT cluster_size, count(*) AS n_clusters, cluster_size * count(*) AS "
                                    "total_records FROM (SELECT cluster_id, count(*) AS cluster_size FROM results GROUP "
                                    "BY cluster_id) GROUP BY cluster_size")),
-    "a12_statistics_long": (lambda s, d: S.statistics_long(_res(s, d)).where("category = 'clusters_by_size'"),
-                            _res_select("SELECT 'clusters_by_size' AS category, CAST(cluster_size AS VARCHAR) AS "
-                                        "metric, CAST(count(*) AS VARCHAR) AS value FROM (SELECT cluster_id, count(*) "
-                                        "AS cluster_size FROM results GROUP BY cluster_id) GROUP BY cluster_size")),
+    "a12_statistics_long": (lambda s, d: _long_values(S.statistics_long(_res(s, d))), _res_select(STATISTICS_SQL)),
     "a15_histogram": (lambda s, d: S.size_histogram(_res(s, d)).select("bin", "n_clusters"), _res_select(
         "SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((cluster_size - lo) / ((hi - lo) / 20.0)) + 1, 20) "
         "END AS INT) AS bin, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS cluster_size FROM results "
@@ -811,10 +844,10 @@ SCORING = {
                                                                     "cluster_size"),
                   _res_select("SELECT cluster_id, npi, given_name, family_name, cluster_size FROM results WHERE "
                               "cluster_size > 1 ORDER BY cluster_size DESC, cluster_id, unique_id LIMIT 100")),
-    "c6_preset": (q_c6_preset, _preset_sql()),
-    "c5_pipeline": (q_c5_pipeline, None),
-    "c9_train": (q_c9_train, None),
-    "a18_em": (q_a18_em, None),
+    "c6_preset": (q_c6_preset, OM.trained_sql(PRESET, RESULT_SELECT, "results")),
+    "c5_pipeline": (q_c5_pipeline, OM.trained_sql(FUZZY, RESULT_SELECT, "results")),
+    "c9_train": (q_c9_train, OM.trained_sql(FUZZY, OM.parameters_select(FUZZY))),
+    "a18_em": (q_a18_em, OM.trained_sql(FUZZY, OM.sessions_select(FUZZY))),
 }
 
 # ---------------------------------------------------------------------------
@@ -860,20 +893,16 @@ def _recs_sql(src: str, cols: list[str]) -> str:
     n = f"(SELECT count(*) FROM {src})"
     parts = []
     for i, c in enumerate(("family_name", "given_name", "npi")):
-        parts.append(f"SELECT {i + 1} AS rule, 'Critical field ''{c}'' has ' || CAST(percentage AS VARCHAR) || "
-                     f"'% missing values. Consider data enrichment or validation.' AS text FROM missing "
-                     f"WHERE column_name = '{c}' AND percentage > 5.0")
-    parts.append(f"SELECT 4, CAST(count_if(lower(address_status) = 'inconclusive') AS VARCHAR) || ' records have "
-                 f"inconclusive addresses. Consider address validation service.' FROM {src} HAVING "
-                 f"count_if(lower(address_status) = 'inconclusive') > {n} * 0.2")
-    parts.append(f"SELECT 5, CAST(count_if(length(phone) < 10) AS VARCHAR) || ' records have invalid phone numbers. "
-                 f"Review phone number formatting and validation.' FROM {src} HAVING count_if(length(phone) < 10) > "
-                 f"{n} * 0.1")
-    parts.append(f"SELECT 6, printf('High duplicate rate detected (%.1f%%). Deduplication is strongly recommended.', "
-                 f"d * 100.0 / {n}) FROM dups WHERE d * 1.0 / {n} > 0.1")
-    parts.append(f"SELECT 7, 'Data is highly concentrated in a few states. Consider if this represents your target "
-                 f"population.' FROM (SELECT sum(c) AS s FROM (SELECT count(*) AS c FROM {src} WHERE state IS NOT NULL "
-                 f"GROUP BY state ORDER BY c DESC, state LIMIT 5)) WHERE s > {n} * 0.8")
+        before, after = Q.MISSING_TEXT.format(field=c).replace("%%", "%").split("%s")
+        parts.append(f"SELECT {i + 1} AS rule, {O._q(before)} || CAST(percentage AS VARCHAR) || {O._q(after)} AS text "
+                     f"FROM missing WHERE column_name = '{c}' AND percentage > 5.0")
+    parts.append(f"SELECT 4, printf({O._q(Q.INCONCLUSIVE_TEXT)}, count_if(lower(address_status) = 'inconclusive')) "
+                 f"FROM {src} HAVING count_if(lower(address_status) = 'inconclusive') > {n} * 0.2")
+    parts.append(f"SELECT 5, printf({O._q(Q.PHONE_TEXT)}, count_if(length(phone) < 10)) FROM {src} HAVING "
+                 f"count_if(length(phone) < 10) > {n} * 0.1")
+    parts.append(f"SELECT 6, printf({O._q(Q.DUPLICATE_TEXT)}, d * 100.0 / {n}) FROM dups WHERE d * 1.0 / {n} > 0.1")
+    parts.append(f"SELECT 7, {O._q(Q.STATES_TEXT)} FROM (SELECT sum(c) AS s FROM (SELECT count(*) AS c FROM {src} "
+                 f"WHERE state IS NOT NULL GROUP BY state ORDER BY c DESC, state LIMIT 5)) WHERE s > {n} * 0.8")
     return " UNION ALL ".join(parts)
 
 
@@ -881,6 +910,21 @@ def _q_sql(select: str, extra: list[str] = ()) -> str:
     return O.with_ctes(*_score_sql("prepared", PREPARED_COLS), *extra, select=select)
 
 
+ANALYZE_SQL = (
+    "SELECT family, item, CAST(value AS DOUBLE) AS value FROM (SELECT 'total_records' AS family, '' AS item, count(*) AS "
+    "value FROM prepared UNION ALL SELECT 'duplicate_records', '', d FROM dups UNION ALL SELECT 'missing', column_name, "
+    "percentage FROM missing UNION ALL SELECT 'score', '', round(data_quality_score, 6) FROM score UNION ALL SELECT "
+    f"'recommendation', text, rule FROM ({_recs_sql('prepared', PREPARED_COLS)}) UNION ALL SELECT 'address_status', "
+    "address_status, count(*) FROM prepared GROUP BY address_status UNION ALL SELECT 'phone_status', phone_status, count(*) "
+    "FROM prepared GROUP BY phone_status UNION ALL SELECT 'state_distribution', 'unique_states', count(DISTINCT state) FROM "
+    "prepared UNION ALL (SELECT 'top_states', state, count(*) AS c FROM prepared GROUP BY state ORDER BY c DESC, state "
+    "LIMIT 5) UNION ALL SELECT 'phone_validity', 'valid_count', count_if(length(phone) >= 10) FROM prepared UNION ALL SELECT "
+    "'phone_validity', 'invalid_count', count_if(length(phone) < 10) FROM prepared UNION ALL SELECT 'phone_validity', "
+    "'missing_count', count_if(phone IS NULL) FROM prepared UNION ALL SELECT 'group_practice', 'unique_groups', "
+    "count(DISTINCT group_npi) FROM prepared WHERE group_npi <> '' UNION ALL SELECT 'group_practice', 'largest_group_size', "
+    "max(c) FROM (SELECT count(*) AS c FROM prepared WHERE group_npi <> '' GROUP BY group_npi) UNION ALL SELECT "
+    "'group_practice', 'solo_practitioners', count_if(coalesce(group_npi, '') = '') FROM prepared)")
+
 QUALITY = {
     "a1_total": (lambda s, d: Q.total_records(prepared(s, d)),
                  O.with_ctes(select="SELECT count(*) AS total_records FROM prepared")),
@@ -918,8 +962,8 @@ QUALITY = {
     "c7_quality_only": (lambda s, d: Q.quality_score(raw(s, d)).select(_r6("data_quality_score")),
                         f"WITH {O.RAW}, " + ", ".join(_score_sql("raw", RAW_COLS)) +
                         " SELECT round(data_quality_score, 6) AS data_quality_score FROM score"),
-    "a10_analyze": (lambda s, d: Q.analyze(raw(s, d)).missing_values,
-                    f"WITH {O.RAW}, {_missing_sql('raw', RAW_COLS)} SELECT * FROM missing"),
+    "a10_analyze": (lambda s, d: Q.long_form(prepared(s, d)), _q_sql(ANALYZE_SQL)),
+    "c8_prepare": (lambda s, d: Q.long_form(prepare_data(raw(s, d), "rid").records), _q_sql(ANALYZE_SQL)),
 }
 
 

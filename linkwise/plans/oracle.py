@@ -12,7 +12,7 @@ from linkwise.functions.constants import (
     STATE_CODES,
 )
 from linkwise.plans.spec import BlockingRule, Comparison
-from linkwise.sources.fixture import provider_view_sql
+from linkwise.sources.fixture import odd_view_sql, provider_view_sql
 
 
 def _q(s: str) -> str:
@@ -67,6 +67,7 @@ def _nt(c: str) -> str:
 
 
 RAW = f"raw AS ({provider_view_sql()})"
+ODD = f"raw AS ({odd_view_sql()})"
 
 MODEL = f"""model AS (
   SELECT rid, {_nt('npi')} AS npi, {_nt('gnpi')} AS group_npi, {_nt('group_name')} AS group_name,

@@ -16,9 +16,9 @@ from linkwise.operators.blocking import candidate_pairs, profile_table
 from linkwise.operators.cluster import assign_clusters, profile_clusters, with_cluster_size
 from linkwise.operators.compare import available_comparisons, compare
 from linkwise.operators.prepare import assert_batch_ok, prepare
-from linkwise.operators.quality import analyze
-from linkwise.operators.score import attach_term_frequencies, score
-from linkwise.operators.stats import cluster_statistics
+from linkwise.operators.quality import QualityReport, analyze
+from linkwise.operators.score import score, with_term_frequencies
+from linkwise.operators.stats import cluster_statistics, clusters_by_size
 from linkwise.operators.train import Model, train
 from linkwise.plans.spec import MatchSpec
 from linkwise.session import materialize
@@ -29,12 +29,14 @@ from linkwise.sources.reader import load
 class Prepared:
     records: DataFrame
     quarantine: DataFrame
+    profile: QualityReport
 
 
 @dataclass
 class DedupResult:
     results: DataFrame
     statistics: DataFrame
+    clusters_by_size: DataFrame
     scored: DataFrame
     model: Model
     profiles: DataFrame
@@ -43,13 +45,13 @@ class DedupResult:
 
 def prepare_data(raw: DataFrame, id_column: str | None = None, fail_fast: bool = True,
                  persist: bool = True) -> Prepared:
-    """Batch check, row validation with quarantine, normalization."""
+    """Batch check, row validation with quarantine, normalization, quality profile."""
     if fail_fast:
         assert_batch_ok(raw)
     records, quarantine = prepare(raw, id_column)
     if persist:
         records = materialize(records, "prepared")
-    return Prepared(records, quarantine)
+    return Prepared(records, quarantine, analyze(records))
 
 
 def build_profiles(records: DataFrame, spec: MatchSpec, persist: bool = True) -> tuple[DataFrame, list[str]]:
@@ -64,11 +66,9 @@ def score_pairs(records: DataFrame, profiles: DataFrame, spec: MatchSpec, model:
     """Blocked pairs of every rule, compared and scored."""
     comps, _ = available_comparisons(spec.comparisons, records.columns)
     tf_cols = [c.column for c in comps if c.term_frequency]
-    pairs = candidate_pairs(profiles, spec, [c.column for c in comps])
-    gam = compare(pairs, comps, keep_values=bool(tf_cols))
-    if tf_cols:
-        gam = attach_term_frequencies(gam, records, tf_cols)
-    out = score(gam, model, tf_cols)
+    profiles = with_term_frequencies(profiles, tf_cols)
+    pairs = candidate_pairs(profiles, spec, [c.column for c in comps] + [f"tf_{c}" for c in tf_cols])
+    out = score(compare(pairs, comps), model, tf_cols)
     keep = ["rep_id_l", "rep_id_r", "pair_count", "match_key"] + [c.gamma for c in comps] + [
         "match_weight", "match_probability"]
     return out.select(*keep)
@@ -83,7 +83,10 @@ def deduplicate(records: DataFrame, profiles: DataFrame, profile_columns: list[s
         scored = materialize(scored, "scored")
     clusters = profile_clusters(scored, t)
     results = with_cluster_size(assign_clusters(records, profiles, clusters, profile_columns))
-    return DedupResult(results, cluster_statistics(results), scored, model, profiles)
+    if persist:
+        # statistics and reports then read one table instead of repeating the joins
+        results = materialize(results, "results")
+    return DedupResult(results, cluster_statistics(results), clusters_by_size(results), scored, model, profiles)
 
 
 def run_deduplication(raw: DataFrame, spec: MatchSpec, id_column: str | None = None,
@@ -93,7 +96,8 @@ def run_deduplication(raw: DataFrame, spec: MatchSpec, id_column: str | None = N
     profiles, cols = build_profiles(prep.records, spec, persist)
     model = train(prep.records, profiles, spec)
     result = deduplicate(prep.records, profiles, cols, spec, model, threshold, persist)
-    result.warnings = list(model.skipped)
+    _, absent = available_comparisons(spec.comparisons, prep.records.columns)
+    result.warnings = absent + list(model.skipped)
     return result
 
 

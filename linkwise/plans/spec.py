@@ -143,11 +143,17 @@ class MatchSpec:
                 out.append(c.column)
         return out
 
+    def effective_training_rules(self) -> tuple[str, ...]:
+        """The training rules of the spec, or the three default ones."""
+        from linkwise.functions.constants import TRAINING_RULES
+
+        return tuple(self.training_rules) or tuple(TRAINING_RULES)
+
     def profile_columns(self) -> list[str]:
-        """Columns that decide blocking and comparison: records equal on all
-        of them are interchangeable for matching."""
+        """Columns that decide blocking, training and comparison: records equal
+        on all of them are interchangeable for matching."""
         out = []
-        rules = [r.sql for r in self.blocking_rules] + list(self.training_rules)
+        rules = [r.sql for r in self.blocking_rules] + list(self.effective_training_rules())
         for sql in rules:
             for name in BlockingRule(sql).columns():
                 if name not in out:
@@ -169,7 +175,7 @@ def preset_strict() -> MatchSpec:
             BlockingRule(
                 "l.npi = r.npi AND l.family_name = r.family_name AND l.given_name = r.given_name "
                 "AND l.postal_code = r.postal_code AND (l.phone = r.phone OR (length(l.phone) < 10 AND length(r.phone) < 10))",
-                "Block on exact NPI, name, postal code, and phone (or both phones missing)",
+                "Same NPI, names and ZIP; same phone, or neither phone complete",
             ),
         ),
         comparisons=(

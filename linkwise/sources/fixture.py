@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# FIXED VALUES: value lists of the derived provider records
+# value lists of the derived provider records
 FIRST_NAMES = "James,Mary,Robert,Patricia,John,Jennifer,Michael,Linda,David,Elizabeth,William,Barbara,Richard,Susan,Joseph,Jessica,Thomas,Sarah,Charles,Karen"
 LAST_NAMES = "Smith,Johnson,Williams,Brown,Jones,Garcia,Miller,Davis,Rodriguez,Martinez,Hernandez,Lopez,Gonzalez,Wilson,Anderson,Thomas,Taylor,Moore,Jackson,Martin,Lee,Perez,Thompson,White,Harris,Sanchez,Clark,Ramirez,Lewis,Robinson,Walker"
 STREETS = "Main,Oak,Pine,Maple,Cedar,Elm,Washington,Lake,Hill,Park,Walnut"
 STREET_TYPES = "St,Ave,Blvd,Rd,Dr,Ln,Pkwy"
-CITIES = "Springfield,Chicago,Peoria,Rockford,St Louis,Boston,Austin"
+CITIES = "Alton,Berwick,Carden,Dunmore,St Elmo,Farley,Granby"
 STATES = "IL,IL,IL,IL,MO,MA,TX"
-SPECIALTIES = "Internal Medicine,Family Medicine,Cardiology,Dermatology,Pediatrics,Surgery"
+SPECIALTIES = "Podiatry,Audiology,Optometry,Nutrition,Sleep Medicine,Sports Medicine"
 ADDRESS_STATUSES = "Verified,Inconclusive,Invalid"
 PHONE_STATUSES = "verified,inconclusive,invalid,no"
 
@@ -89,6 +89,25 @@ SELECT
 FROM versions
 """
 
+#: The same records with every kind of fault in some rows, for the checks that the clean view passes.
+ODD_VIEW_SQL = f"""
+SELECT rid,
+  CASE WHEN rid % 7 = 0 THEN substr(npi, 1, 9) WHEN rid % 7 = 1 THEN CAST(NULL AS STRING)
+       WHEN rid % 7 = 2 THEN 'NULL' WHEN rid % 7 = 3 THEN concat(substr(npi, 1, 9), 'X') ELSE npi END AS npi,
+  CASE WHEN rid % 11 = 0 THEN repeat('x', 51) WHEN rid % 11 = 1 THEN '' WHEN rid % 11 = 2 THEN CAST(NULL AS STRING)
+       ELSE firstname END AS firstname,
+  middlename,
+  CASE WHEN rid % 13 = 0 THEN CAST(NULL AS STRING) WHEN rid % 13 = 1 THEN repeat('y', 50) ELSE lastname END AS lastname,
+  CASE WHEN rid % 17 = 0 THEN repeat('z', 101) ELSE address1 END AS address1,
+  city, state,
+  CASE WHEN rid % 19 = 0 THEN CAST(NULL AS STRING) ELSE zipcode END AS zipcode,
+  CASE WHEN rid % 5 = 0 THEN '12345' WHEN rid % 5 = 1 THEN concat('+', phone) ELSE phone END AS phone,
+  gnpi, group_name, primary_spec_desc,
+  CASE WHEN rid % 6 = 0 THEN 'unknown' WHEN rid % 6 = 1 THEN CAST(NULL AS STRING) ELSE address_status END AS address_status,
+  CASE WHEN rid % 8 = 0 THEN 'NO' ELSE phone_status END AS phone_status
+FROM ({PROVIDER_VIEW_SQL})
+"""
+
 RAW_COLUMNS = [
     "rid", "npi", "firstname", "middlename", "lastname", "address1", "city", "state", "zipcode",
     "phone", "gnpi", "group_name", "primary_spec_desc", "address_status", "phone_status",
@@ -104,3 +123,14 @@ def provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw provider records (legacy column names, strings; ``rid`` bigint)."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     return spark.sql(PROVIDER_VIEW_SQL, customer=customer)
+
+
+def odd_view_sql(customer: str = "customer") -> str:
+    """The faulty records as SQL text over a table named ``customer``."""
+    return ODD_VIEW_SQL.replace("{customer}", customer)
+
+
+def odd_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw provider records with faults."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return spark.sql(ODD_VIEW_SQL, customer=customer)

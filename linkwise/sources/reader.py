@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkwise.functions.constants import CSV_NULL_TOKENS
 
@@ -39,11 +40,29 @@ def null_tokens(df: DataFrame, tokens=CSV_NULL_TOKENS) -> DataFrame:
     ])
 
 
-def read_csv(spark: SparkSession, path, **options) -> DataFrame:
-    """Header CSV, all strings, the NA token list -> null."""
-    opts = {"header": "true", "inferSchema": "false", "mode": "PERMISSIVE"}
+#: One dialect on both sides: quotes doubled inside quotes, blanks kept.
+CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
+SURPLUS = "__surplus"
+
+
+def read_csv(spark: SparkSession, path, multi_line: bool = True, **options) -> DataFrame:
+    """Header CSV, all strings, the NA token list -> null.
+
+    Quoted fields may hold commas, doubled quotes and line feeds. A row with more
+    fields than the header fails the read with the row's first field in the message; missing
+    fields are null. ``multi_line=False`` lets Spark split large files that have no line feed
+    inside fields.
+    """
+    opts = CSV_DIALECT | {"multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "inferSchema": "false"}
     opts.update({k: str(v) for k, v in options.items()})
-    return null_tokens(spark.read.options(**opts).csv(path))
+    names = spark.read.options(**opts).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
+    rows = spark.read.options(**opts).schema(schema).csv(path)
+    error = F.raise_error(F.concat(F.lit("CSV row has more fields than the header: "),
+                                   F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))))
+    whole = F.when(F.col(SURPLUS).isNotNull(), error.cast("boolean")).otherwise(F.lit(True))
+    return null_tokens(rows.where(whole).drop(SURPLUS))
 
 
 def read_json(spark: SparkSession, path, lines: bool = False, **options) -> DataFrame:
@@ -79,8 +98,18 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def load_multiple(spark: SparkSession, paths: list[str], concat: bool = True, **options):
-    """Several files; concatenated by column name with missing columns null."""
-    frames = [load(spark, p, **options) for p in paths]
+    """Several files; concatenated by column name with missing columns null.
+
+    Parquet and JSON paths are read by one scan per format; CSV files may differ in their
+    header and are read one by one.
+    """
     if not concat:
-        return frames
+        return [load(spark, p, **options) for p in paths]
+    frames, columnar = [], [p for p in paths if FORMATS.get(_suffix(p)) == "parquet"]
+    if columnar:
+        frames.append(as_strings(spark.read.option("mergeSchema", "true").parquet(*columnar)))
+    lines = [p for p in paths if FORMATS.get(_suffix(p)) == "json"]
+    if lines:
+        frames.append(read_json(spark, lines, **options))
+    frames += [load(spark, p, **options) for p in paths if p not in columnar and p not in lines]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

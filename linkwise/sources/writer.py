@@ -12,6 +12,8 @@ import os
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkwise.sources.reader import CSV_DIALECT
+
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".pq": "parquet"}
 
 
@@ -27,17 +29,18 @@ def save(df: DataFrame, path: str, statistics: DataFrame | None = None, mode: st
         raise OutputError(f"Unsupported output format: {os.path.splitext(path)[1]}")
     try:
         if fmt == "csv":
-            df.write.mode(mode).options(header="true", **options).csv(path)
+            df.write.mode(mode).options(**(CSV_DIALECT | options)).csv(path)
         elif fmt == "parquet":
             df.write.mode(mode).options(compression="snappy", **options).parquet(path)
         else:
             df.write.mode(mode).options(**options).json(os.path.join(path, "records"))
             stamp = F.lit(_dt.datetime.now(_dt.timezone.utc).isoformat()).alias("generated_at")
-            count = F.lit(df.count()).alias("record_count")
+            # counted from what was written, so the result is not computed twice
+            written = df.sparkSession.read.json(os.path.join(path, "records"), schema="`_` string")
+            meta = written.agg(F.count(F.lit(1)).alias("record_count")).select(stamp, "record_count")
             if statistics is not None:
-                meta = statistics.select(stamp, count, F.struct(*statistics.columns).alias("statistics")).limit(1)
-            else:
-                meta = df.sparkSession.range(1).select(stamp, count)
+                one = statistics.limit(1).select(F.lit(1).alias("_k"), F.struct(*statistics.columns).alias("statistics"))
+                meta = meta.withColumn("_k", F.lit(1)).join(one, "_k", "left").drop("_k")
             meta.coalesce(1).write.mode(mode).json(os.path.join(path, "metadata"))
     except OutputError:
         raise

@@ -12,7 +12,8 @@ from .conftest import SF_SMALL
 NAMES = ["p15_prepared", "p11_quarantine", "n1_name", "n2_address", "n5_state", "j3_multi_rule", "j2_residual",
          "j14_compare", "j11_jaro_winkler", "a16_patterns", "a17_u_exact", "c1_predict", "c2_clusters",
          "c4_deduplicate", "a11_statistics", "a3_missing", "a8_score", "a9_recommendations", "c6_preset",
-         "s2_csv", "j6_random_pairs"]
+         "s2_csv", "s2_csv_text", "k1_save", "p3_required", "p12_batch_check", "p14_surrogate_key", "a10_analyze",
+         "j6_random_pairs", "a17_u_sampled", "a18_em", "c9_train", "c3_tf_adjust", "c5_pipeline"]
 
 
 def _canon(pdf):
@@ -34,7 +35,8 @@ def _canon(pdf):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW customer AS SELECT * FROM '{SF_SMALL}/customer.parquet'")
+    for name in ("customer", "documents"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF_SMALL}/{name}.parquet'")
     return c
 
 
