@@ -125,9 +125,12 @@ def occurrences(scan: DataFrame) -> DataFrame:
         _word(F.col("after"), False).alias("right")).where(F.col("end") > F.col("start"))
     # tokens that overlap a base span are that entity (or a part of it), not another one
     base = F.col("kind") != "token"
-    near = W.partitionBy("id", "version").orderBy("start", base.desc())
-    reached = F.max(F.when(base, F.col("end"))).over(near.rowsBetween(W.unboundedPreceding, -1))
-    coming = F.min(F.when(base, F.col("start"))).over(near.rowsBetween(1, W.unboundedFollowing))
+    row = W.partitionBy("id", "version")
+    reached = F.max(F.when(base, F.col("end"))).over(
+        row.orderBy("start", base.desc()).rowsBetween(W.unboundedPreceding, -1))
+    # a running minimum from the right: a frame that ends at the partition's end would be worked out anew for each row
+    coming = F.min(F.when(base, F.col("start"))).over(
+        row.orderBy(F.desc("start"), base.asc()).rowsBetween(W.unboundedPreceding, -1))
     marked = spans.withColumn("reached", reached).withColumn("coming", coming)
     free = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (
         F.coalesce("coming", F.col("end")) >= F.col("end"))

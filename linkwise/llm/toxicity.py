@@ -53,7 +53,7 @@ MIN_DOCS = 4
 DRIFT = -0.05
 #: Passages are reported up to this many expected chance passages per text.
 MAX_EVALUE = 0.01
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 WORD = re.compile(r"\w+")
 
 
