@@ -167,14 +167,14 @@ class _Lengths:
 
     def best_pair(self, room: int, without: int) -> tuple[int, int] | None:
         """Two items of the largest sum within the room, larger first."""
-        low, high, best = 0, bisect_left(self.sorted, room) - 1, None
-        while low <= high:
-            a, b = self.sorted[high], self.sorted[low]
+        free = [w for w in self.sorted[:bisect_left(self.sorted, room)] if self.free(w, without) > 0]
+        low, high, best = 0, len(free) - 1, None
+        while low < high or low == high and self.free(free[low], without) > 1:
+            a, b = free[high], free[low]
             if a + b > room:
                 high -= 1
                 continue
-            enough = self.free(a, without) >= 2 if a == b else self.free(a, without) > 0 and self.free(b, without) > 0
-            if enough and (best is None or a + b > sum(best)):
+            if best is None or a + b > sum(best):
                 best = (a, b)
             low += 1
         return best
