@@ -11,7 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkwise.llm import chat_format, decontaminate, mih_search, packing, pii, recompression, simhash, suffix_dedup, token_counts, toxicity
+from linkwise.llm import (
+    chat_format,
+    decontaminate,
+    mih_search,
+    packing,
+    pii,
+    recompression,
+    simhash,
+    suffix_dedup,
+    token_counts,
+    tournament_packing,
+    toxicity,
+)
 from linkwise.llm.common import crc_fold, out_id, table
 
 
@@ -171,6 +183,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op11_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tournament_packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, closing_id=1)
+    return found.select(out_id(), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens",
+                        F.col("sequence").alias("sequence_id"), "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -183,6 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_simhash": op10_simhash,
+        "op11_tournament_packing": op11_tournament_packing,
     }
 
 
