@@ -20,6 +20,7 @@ from linkwise.llm import (
     recompression,
     simhash,
     suffix_dedup,
+    token_alignment,
     token_counts,
     tournament_packing,
     toxicity,
@@ -189,6 +190,12 @@ def op11_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("sequence").alias("sequence_id"), "offset")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"),
+                                  tokenizer_file("piece_bpe_32k.model"))
+    return found.select(out_id(), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -202,6 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_format": op9_chat_format,
         "op10_simhash": op10_simhash,
         "op11_tournament_packing": op11_tournament_packing,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
