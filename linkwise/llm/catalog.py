@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linkwise.llm import (
     chat_format,
+    collocations,
     decontaminate,
     mih_search,
     packing,
@@ -196,6 +197,49 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(out_id(), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), t AS (
+    SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), s AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), g AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+    WHERE i + k - 1 <= len(w)
+), f AS (
+    SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2
+), x AS (
+    SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)
+), y AS (
+    SELECT x.lang, x.phrase, x.a, x.cut, l.f AS l, r.f AS r, t.n,
+        (1000::HUGEINT * x.a * t.n) // (l.f::HUGEINT * r.f) AS score
+    FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.first JOIN f r ON r.lang = x.lang AND r.phrase = x.rest
+    JOIN t ON t.lang = x.lang
+), z AS (
+    SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), u AS (
+    SELECT s.lang, s.phrase FROM c s JOIN (
+        SELECT lang, a, unnest([array_to_string(w[2:], ' '), array_to_string(w[1:k - 1], ' ')]) AS phrase FROM c WHERE k >= 3
+    ) b ON b.lang = s.lang AND b.phrase = s.phrase AND 100 * b.a >= 100 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM z ANTI JOIN u USING (lang, phrase) QUALIFY rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -210,6 +254,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": op10_simhash,
         "op11_tournament_packing": op11_tournament_packing,
         "op12_token_alignment": op12_token_alignment,
+        "op13_collocations": op13_collocations,
     }
 
 
@@ -218,4 +263,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_recompression": OP5_SQL,
         "op6_suffix_dedup": OP6_SQL,
         "op9_chat_format": OP9_SQL,
+        "op13_collocations": OP13_SQL,
     }
