@@ -29,13 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from linkwise.llm.common import id_text, map_rows
-from linkwise.llm.packing import token_bytes
+from linkwise.llm.packing import SEPARATORS, Words, token_bytes
 
 CAPACITY = 2048
 CLOSING_ID = 1
 GROUP = 8192
 SLACK = CAPACITY // 32
 
+CACHE_WORDS = 300_000
+
+_state: dict = {}
+
 PIECES = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()),
                     ("doc_tokens", pa.int64())])
 RESTS = PIECES.append(pa.field("ids", pa.binary()))
@@ -44,6 +48,50 @@ RESTS_DDL = "id long, start long, length long, crc long, doc_tokens long, ids bi
 PLACED_DDL = "id long, start long, length long, crc long, doc_tokens long, sequence long, offset long"
 
 
+class LowerWords(Words):
+    """Ids of lower-case Latin-1 words. Two generations of at most ``CACHE_WORDS``: when the younger one is
+    full it takes the older one's place, so frequent words stay."""
+
+    def __init__(self, tokenizer):
+        super().__init__(tokenizer)
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoded(word)
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+def document_ids(text: str, path: str) -> bytes:
+    """The ids of a text, little-endian unsigned 32 bits each.
+
+    The tokenizer lower-cases every text; where all characters are Latin-1 that can come
+    first and halves the different words. Its special strings are told by case, so texts with
+    ``<|`` go as they are.
+    """
+    if _state.get("path") != path:
+        from tokenizers import Tokenizer
+
+        _state.update(path=path, words=LowerWords(Tokenizer.from_file(path)))
+    if "<|" in text or SEPARATORS.search(text) or not _latin(text):
+        return token_bytes(text, path)
+    words = _state["words"]
+    return b"".join([words[w] for w in text.lower().split()])
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Tournament:
     """Free room of up to ``n`` sequences; each inner node holds the larger room of its two children."""
 
@@ -118,7 +166,7 @@ def rests(docs: DataFrame, tokenizer_path: str, capacity: int, closing_id: int)
     def run(batch: pa.RecordBatch):
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            raw = token_bytes(text, tokenizer_path) + closing
+            raw = document_ids(text, tokenizer_path) + closing
             total = len(raw) // 4
             cut = total - total % capacity
             for at in range(0, cut, capacity):

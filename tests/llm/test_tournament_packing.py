@@ -12,6 +12,7 @@ from linkwise.llm import catalog, tournament_packing as packing
 from linkwise.llm.common import out_id
 
 from .conftest import EDGE_ROWS
+from .test_tokens import odd_texts
 
 PATH = catalog.tokenizer_file("word_bpe_49k.json")
 
@@ -99,6 +100,17 @@ def test_edge_rows(make):
     assert packing.pack(make([]), PATH).count() == 0
 
 
+def test_word_ids_are_the_library_s(monkeypatch):
+    tok = Tokenizer.from_file(PATH)
+    texts = odd_texts(3000, seed=9) + ["<|StartOfText|> a", "<|startoftext|>", "A.B, ÀÉ. don't", "µ ß ÿ", "Word. word, WORD"]
+    for size in (300_000, 3):
+        monkeypatch.setattr(packing, "CACHE_WORDS", size)
+        packing._state.clear()
+        for t in texts:
+            got = np.frombuffer(packing.document_ids(t, PATH), "<u4").tolist()
+            assert got == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_wide_ids_are_kept():
     raw = np.array([1, 70_000], "<u4").tobytes()
     assert packing._wide(packing._narrow(raw)).tolist() == [1, 70_000]
