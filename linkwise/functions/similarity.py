@@ -1,17 +1,19 @@
 """String similarity for pair comparison.
 
-Levenshtein is Spark's built-in ``levenshtein``. Jaro-Winkler has no built-in,
-so it is an Arrow-batched pandas UDF around a small per-pair helper; equal
-strings are answered without running the helper, and repeated pairs within a
-batch are computed once.
+Levenshtein is Spark's built-in ``levenshtein``. Jaro-Winkler has no built-in. A
+batch of pairs is turned into a dictionary of values and the distinct pairs of its
+codes; those are scored together as arrays, one step per character position for all of them. Equal
+values and values that a bound over lengths and prefix keeps below the lowest
+cut-off are answered in the JVM and reach the UDF as nulls.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 # FIXED VALUES: Winkler prefix scale, longest prefix counted, boost threshold
@@ -20,62 +22,122 @@ MAX_PREFIX = 4
 BOOST_THRESHOLD = 0.7
 
 
-def jaro(a: str, b: str) -> float:
-    la, lb = len(a), len(b)
-    if la == 0 or lb == 0:
-        return 0.0
-    window = max(max(la, lb) // 2 - 1, 0)
-    b_used = [False] * lb
-    a_hits = []
-    for i, ch in enumerate(a):
-        lo, hi = max(0, i - window), min(lb, i + window + 1)
-        for j in range(lo, hi):
-            if not b_used[j] and b[j] == ch:
-                b_used[j] = True
-                a_hits.append(ch)
-                break
-    m = len(a_hits)
-    if m == 0:
-        return 0.0
-    b_hits = [b[j] for j in range(lb) if b_used[j]]
+#: Cells of one character matrix: few enough to stay in a core's cache.
+CELLS = 40_000
+#: Room for rounding: a bound this little below a cut-off does not rule a pair out.
+EPSILON = 1e-9
+
+
+def code_points(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of the values one after the other, and where each value starts (one more at the end)."""
+    lengths = np.fromiter((len(v) for v in values), np.int64, len(values))
+    flat = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.int32)
+    return flat, np.concatenate([[0], np.cumsum(lengths)])
+
+
+def matrix(flat: np.ndarray, starts: np.ndarray, rows: np.ndarray, width: int, filler: int) -> np.ndarray:
+    """One row of characters per value of ``rows``, filled up to ``width``."""
+    at = np.arange(width)
+    lengths = (starts[1:] - starts[:-1])[rows]
+    inside = at < lengths[:, None]
+    out = np.full((len(rows), width), filler, np.int32)
+    out[inside] = flat[(starts[rows][:, None] + at)[inside]]
+    return out
+
+
+def matches_first(chars: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The matched characters of each row moved to its front, in their order."""
+    return np.take_along_axis(chars, np.argsort(~hit, axis=1, kind="stable"), axis=1)
+
+
+def jaro_winkler_matrix(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Similarity of each row of ``a`` with the same row of ``b``.
+
+    A character takes the first free equal one inside its window of the other side; the loop
+    runs over positions, each step over all rows.
+    """
+    n, width = a.shape
+    window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
+    at = np.arange(b.shape[1])
+    hit, free, rows = np.zeros(a.shape, bool), np.ones(b.shape, bool), np.arange(n)
+    for i in range(width):
+        fits = b == a[:, i:i + 1]
+        fits &= free
+        fits &= np.abs(at - i) <= window
+        first = fits.argmax(axis=1)
+        hit[:, i] = fits[rows, first]
+        free[rows, first] &= ~hit[:, i]
+    m = hit.sum(axis=1)
+    together = min(a.shape[1], b.shape[1])
+    moved = (matches_first(a, hit)[:, :together] != matches_first(b, ~free)[:, :together]) & (np.arange(together) < m[:, None])
     # transpositions: half the out-of-order matches, rounded down
-    half_transpositions = sum(x != y for x, y in zip(a_hits, b_hits)) // 2
-    return (m / la + m / lb + (m - half_transpositions) / m) / 3.0
+    straight = m - moved.sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + straight / m) / 3.0, 0.0)
+    head = min(MAX_PREFIX, together)
+    prefix = np.cumprod(a[:, :head] == b[:, :head], axis=1).sum(axis=1) if head else np.zeros(n, np.int64)
+    return np.where(jaro > BOOST_THRESHOLD, jaro + prefix * PREFIX_SCALE * (1.0 - jaro), jaro)
+
+
+def jaro_winkler_pairs(left: list[str], right: list[str], l: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Similarity of ``left[l[i]]`` and ``right[r[i]]``; pairs of like width share a matrix."""
+    flat_l, start_l = code_points(left)
+    flat_r, start_r = code_points(right)
+    la, lb = np.diff(start_l)[l], np.diff(start_r)[r]
+    order, out = np.argsort(np.maximum(la, lb), kind="stable"), np.zeros(len(l))
+    at = 0
+    while at < len(order):
+        # as many rows as fit at the width of the last of them
+        step = max(1, CELLS // max(1, int(max(la[order[at]], lb[order[at]]))))
+        some = order[at:at + step]
+        width = max(1, int(np.maximum(la[some], lb[some]).max()))
+        some = some[:max(1, CELLS // width)]
+        width_a, width_b = max(1, int(la[some].max())), max(1, int(lb[some].max()))
+        out[some] = jaro_winkler_matrix(matrix(flat_l, start_l, l[some], width_a, -1),
+                                        matrix(flat_r, start_r, r[some], width_b, -2), la[some], lb[some])
+        at += len(some)
+    return out
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    sim = jaro(a, b)
-    if sim <= BOOST_THRESHOLD:
-        return sim
-    prefix = 0
-    for x, y in zip(a[:MAX_PREFIX], b[:MAX_PREFIX]):
-        if x != y:
-            break
-        prefix += 1
-    return sim + prefix * PREFIX_SCALE * (1.0 - sim)
-
-
-def _jw_series(left: pd.Series, right: pd.Series) -> pd.Series:
-    cache: dict[tuple[str, str], float] = {}
-    out = []
-    for a, b in zip(left.tolist(), right.tolist()):
-        if a is None or b is None:
-            out.append(None)
-        elif a == b:
-            out.append(1.0 if a else 0.0)
-        else:
-            key = (a, b)
-            v = cache.get(key)
-            if v is None:
-                v = jaro_winkler(a, b)
-                cache[key] = v
-            out.append(v)
-    return pd.Series(out, dtype="float64")
-
-
-@pandas_udf(DoubleType())
-def jaro_winkler_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    return _jw_series(left, right)
+    zero = np.zeros(1, np.int64)
+    return float(jaro_winkler_pairs([a], [b], zero, zero)[0])
+
+
+def jaro_winkler_batch(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Similarity of two string arrays; null where a side is null."""
+    valid = np.logical_and(left.is_valid().to_numpy(False), right.is_valid().to_numpy(False))
+    out = np.zeros(len(left))
+    if valid.any():
+        l, r = left.dictionary_encode(), right.dictionary_encode()
+        code_l = l.indices.fill_null(0).to_numpy(False).astype(np.int64)[valid]
+        code_r = r.indices.fill_null(0).to_numpy(False).astype(np.int64)[valid]
+        key, back = np.unique(code_l * len(r.dictionary) + code_r, return_inverse=True)
+        scores = jaro_winkler_pairs(l.dictionary.to_pylist(), r.dictionary.to_pylist(), key // len(r.dictionary),
+                                    key % len(r.dictionary))
+        out[valid] = scores[back]
+    return pa.array(out, pa.float64(), mask=~valid)
+
+
+@arrow_udf(DoubleType())
+def jaro_winkler_udf(left: pa.Array, right: pa.Array) -> pa.Array:
+    return jaro_winkler_batch(left, right)
+
+
+def jaro_winkler_bound(l: Column, r: Column) -> Column:
+    """An upper bound of the similarity from lengths and the common prefix."""
+    short, long = F.least(F.length(l), F.length(r)), F.greatest(F.length(l), F.length(r))
+    jaro = F.when(short > 0, (2.0 + short / long) / 3.0).otherwise(0.0)
+    prefix = F.lit(0)
+    for i in range(1, MAX_PREFIX + 1):
+        prefix = F.when((short >= i) & (F.substring(l, 1, i) == F.substring(r, 1, i)), i).otherwise(prefix)
+    return F.when(jaro > BOOST_THRESHOLD, jaro + prefix * PREFIX_SCALE * (1.0 - jaro)).otherwise(jaro)
+
+
+def similarity_above(left: Column, right: Column, cut: float) -> Column:
+    """The similarity of unequal values where it may reach ``cut``, else null."""
+    scored = (left != right) & (jaro_winkler_bound(left, right) >= F.lit(cut - EPSILON))
+    return jaro_winkler_udf(F.when(scored, left), F.when(scored, right))
 
 
 def jaro_winkler_similarity(left: Column, right: Column) -> Column:

@@ -2,8 +2,8 @@
 
 Pairs carry ``<col>_l`` / ``<col>_r``; each comparison adds one small-int
 column in a single projection. Levenshtein and prefix levels are built-ins;
-Jaro-Winkler is computed once per pair by the Arrow UDF and read by all its
-levels.
+Jaro-Winkler is computed once per distinct pair of unequal values of a batch and
+read by all its levels; values that cannot reach the lowest level are left out.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkwise.functions.similarity import jaro_winkler_similarity
+from linkwise.functions.similarity import jaro_winkler_similarity, similarity_above
 from linkwise.plans.spec import Comparison
 
 
@@ -48,12 +48,15 @@ def compare(pairs: DataFrame, comparisons, keep_values: bool = False) -> DataFra
     """Add ``gamma_<column>`` for every comparison; drop the compared strings
     unless ``keep_values``."""
     comparisons = list(comparisons)
-    jw_cols = {}
+    cuts: dict[str, float] = {}
     for c in comparisons:
-        if c.uses_jaro_winkler() and c.column not in jw_cols:
-            name = f"_jw_{c.column}"
-            pairs = pairs.withColumn(name, jaro_winkler_similarity(F.col(f"{c.column}_l"), F.col(f"{c.column}_r")))
-            jw_cols[c.column] = name
+        if c.uses_jaro_winkler():
+            lowest = min(cut for measure, cut in c.similarity_levels() if measure == "jaro_winkler")
+            cuts[c.column] = min(lowest, cuts.get(c.column, lowest))
+    jw_cols = {c: f"_jw_{c}" for c in cuts}
+    if cuts:
+        pairs = pairs.withColumns({jw_cols[c]: similarity_above(F.col(f"{c}_l"), F.col(f"{c}_r"), cut)
+                                   for c, cut in cuts.items()})
     lev_cols = {c.gamma: f"_lev_{c.column}" for c in comparisons if c.kind == "levenshtein"}
     if lev_cols:
         # one distance per pair for all levels; equal values need none
