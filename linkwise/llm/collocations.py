@@ -1,16 +1,19 @@
 """Phrase collocations by SON partitioning.
 
-1. Mine. Each task cuts its documents into shards of about ``SHARD`` bytes and mines each one
-   completely, level by level: a phrase of k + 1 words is looked at where both phrases of k words in it are
-   frequent in the shard. The support asked of a shard is the global one lowered in proportion to the shard's
-   share of all text bytes, rounded up: shares add up to 1, so a phrase with the global support
-   reaches the lowered one in some shard at least.
-2. Union. Locally frequent phrases set the bits of their hashes in one bitmap of 2^``BITS`` bits, whatever
-   the corpus; it is put together by Spark from 4 KB pieces and sent to all tasks.
-3. Count. Each shard is walked again; phrases whose bits are set are counted exactly and go
+1. Shards. A document belongs to one of ``SHARDS`` shards by the checksum of its text. Their number does not
+   grow with the corpus, since the support asked of a shard is the global one lowered in proportion to
+   the shard's share of all text bytes, rounded up: with ever more shards it would sink to one.
+   Shares add up to 1, so a phrase with the global support reaches the lowered one in some shard at least.
+2. Mine. Each shard is mined completely, level by level, by all tasks: tasks count the words and pairs of words of
+   their part of each shard, Spark sums them by shard and hash, and those with the lowered support set
+   their bits in a bitmap of 2^``BITS`` bits. Then longer phrases, all of whose pairs have their bits
+   set, are counted by shard and kept in the same way. Equal hashes add up, which can only keep more.
+3. Union. The bitmap holds the locally frequent phrases of all shards. Its size is fixed whatever the corpus; it is put
+   together by Spark from 4 KB pieces and sent to all tasks.
+4. Count. Tasks walk their texts again; phrases whose bits are set are counted exactly and go
    by their words into one global sum. A phrase that shares a bit with another one is
    counted, exactly too, and then dropped by the support: collisions cost rows, never results.
-4. Score. A candidate's parts are frequent themselves, so their counts are in the same table. Scores are exact
+5. Score. A candidate's parts are frequent themselves, so their counts are in the same table. Scores are exact
    decimals. Candidates that a longer candidate explains are dropped; one more word is enough to look
    at, since counts never grow with length. The best of each language are found per salt first, so that
    a language holding most rows is not one task.
@@ -35,7 +38,10 @@ from linkwise.session import materialize
 SUPPORT = 100
 LONGEST = 5
 TOP = 2000
-SHARD = 32_000_000
+#: At most 256: a key keeps its shard in a byte.
+SHARDS = 4
+#: Bytes of text that a task works on at once.
+CHUNK = 32_000_000
 BITS = 27
 SALTS = 64
 #: Bits of one piece of Spark's bitmap functions.
@@ -46,15 +52,15 @@ LETTERS = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\n\x0b\x0c\r", bytes(
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Shard:
-    """Word numbers of the texts of a shard, by language."""
+class Chunk:
+    """Word numbers of some texts, by group (language, or shard and language)."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {b"\xff": -1}
-        self.texts: dict[str, list[np.ndarray]] = {}
+        self.texts: dict[tuple, list[np.ndarray]] = {}
         self.size = 0
 
-    def add(self, lang: str, raw: bytes) -> None:
+    def add(self, group: tuple, raw: bytes) -> None:
         number = self.number
         words = raw.translate(LETTERS).replace(b"\xff", b" \xff ").split()
         try:
@@ -65,12 +71,12 @@ class Shard:
                     number[w] = len(number) - 1
             ids = [number[w] for w in words]
         ids.append(-1)
-        self.texts.setdefault(lang, []).append(np.array(ids, np.int32))
+        self.texts.setdefault(group, []).append(np.array(ids, np.int32))
         self.size += len(raw)
 
-    def languages(self) -> Iterator[tuple[str, np.ndarray]]:
-        for lang, texts in self.texts.items():
-            yield lang, np.concatenate(texts)
+    def groups(self) -> Iterator[tuple[tuple, np.ndarray]]:
+        for group, texts in self.texts.items():
+            yield group, np.concatenate(texts)
 
 
 def grams(ids: np.ndarray, longest: int, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray]
@@ -96,13 +102,18 @@ def grams(ids: np.ndarray, longest: int, keep: Callable[[int, np.ndarray, np.nda
         keys = at[places] * int(kept.sum()) + at[places + 1]
 
 
-def bits_of(ids: np.ndarray, words: np.ndarray, lang: str, k: int, places: np.ndarray, bits: int) -> np.ndarray:
-    """Bit of each phrase of ``k`` words; ``words`` holds the words' hashes."""
+def hashes(ids: np.ndarray, words: np.ndarray, lang: str, k: int, places: np.ndarray) -> np.ndarray:
+    """Hash of each phrase of ``k`` words at ``places``; ``words`` holds the words' hashes."""
     h = np.full(len(places), zlib.crc32(lang.encode()), np.uint64)
     for j in range(k):
         h = (h ^ (h >> np.uint64(29))) * ODD + words[ids[places + j]]
-    h = (h ^ (h >> np.uint64(32))) * ODD
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (h ^ (h >> np.uint64(32))) * ODD
+
+
+def set_in(known: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have their bit set; a hash's first ``bits`` bits are its place."""
+    bit = (h >> np.uint64(64 - bits)).astype(np.int64)
+    return (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def word_hashes(number: dict[bytes, int]) -> np.ndarray:
@@ -111,16 +122,18 @@ def word_hashes(number: dict[bytes, int]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in number if w != b"\xff"), np.uint64, len(number) - 1)
 
 
-def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Shard]:
-    shard = Shard()
+def chunks(batches: Iterator[pa.RecordBatch], size: int, shards: int) -> Iterator[Chunk]:
+    """The texts of a task by language and, with more than one shard, by shard."""
+    chunk = Chunk()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            shard.add(lang, text.as_buffer().to_pybytes())
-            if shard.size >= size:
-                yield shard
-                shard = Shard()
-    if shard.size:
-        yield shard
+            raw = text.as_buffer().to_pybytes()
+            chunk.add((lang, zlib.crc32(raw) % shards), raw)
+            if chunk.size >= size:
+                yield chunk
+                chunk = Chunk()
+    if chunk.size:
+        yield chunk
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -128,18 +141,42 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("text <> ''")
 
 
-def local_bits(texts: DataFrame, total: int, support: int, longest: int, size: int, bits: int) -> DataFrame:
-    """(bit): bits of the phrases that are frequent in some shard."""
+def local_supports(texts: DataFrame, support: int, shards: int) -> dict[int, int]:
+    """The lowered support of each shard that holds text."""
+    sizes = texts.groupBy((F.crc32(F.col("text").cast("binary")) % shards).alias("shard")).agg(
+        F.sum(F.octet_length("text").cast("long")).alias("size")).collect()
+    total = sum(r["size"] for r in sizes)
+    return {r["shard"]: -(-support * r["size"] // total) for r in sizes}
 
-    def run(batches):
-        for shard in shards(batches, size):
-            words, least, found = word_hashes(shard.number), -(-support * shard.size // total), []
-            for lang, ids in shard.languages():
-                for k, places, _ in grams(ids, longest, lambda k, places, counts: counts >= least):
-                    found.append(bits_of(ids, words, lang, k, places, bits))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)), pa.int64())], ["bit"])
 
-    return texts.mapInArrow(run, "bit long")
+def locally_frequent(texts: DataFrame, least: dict[int, int], lengths: range, known, shards: int, size: int,
+                     bits: int) -> DataFrame:
+    """(bit): places of the phrases of some lengths with the lowered support in some shard.
+
+    ``known`` holds the bits of shorter phrases (None: all are looked at). The key of a phrase is its hash
+    with the shard in the last byte.
+    """
+    def run(batches):
+        bitmap = known.value if known else None
+        for chunk in chunks(batches, size, shards):
+            words = word_hashes(chunk.number)
+            for (lang, shard), ids in chunk.groups():
+                def keep(k, places, counts):
+                    if bitmap is None or k >= lengths.start:
+                        return np.ones(len(places), bool)
+                    return set_in(bitmap, hashes(ids, words, lang, k, places), bits)
+
+                for k, places, counts in grams(ids, lengths.stop - 1, keep):
+                    if k in lengths:
+                        h = hashes(ids, words, lang, k, places)
+                        key = (h & np.uint64(0xFFFFFFFFFFFFFF00) | np.uint64(shard)).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(counts.astype(np.int64))], ["key", "n"])
+
+    counts = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    shard, support = F.col("key").bitwiseAND(F.lit(255)), F.lit(None)
+    for number, lowered in least.items():
+        support = F.when(shard == number, lowered).otherwise(support)
+    return counts.where(F.col("n") >= support).select(F.shiftrightunsigned("key", 64 - bits).alias("bit"))
 
 
 def bitmap(found: DataFrame, bits: int) -> np.ndarray:
@@ -155,27 +192,27 @@ def bitmap(found: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def shard_counts(texts: DataFrame, sent, longest: int, size: int, bits: int) -> DataFrame:
-    """(lang, phrase, k, n): counts by shard of phrases whose bits are set; k = 0: all words."""
+def global_counts(texts: DataFrame, known, longest: int, size: int, bits: int) -> DataFrame:
+    """(lang, phrase, k, n): exact counts of phrases whose bits are set; k = 0: all words."""
 
     def run(batches):
-        known = sent.value
-        for shard in shards(batches, size):
-            words, said = word_hashes(shard.number), [w for w in shard.number if w != b"\xff"]
-            for lang, ids in shard.languages():
-                def set_bits(k, places, counts):
-                    bit = bits_of(ids, words, lang, k, places, bits)
-                    return (known[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+        bitmap = known.value
+        for chunk in chunks(batches, size, 1):
+            words, said = word_hashes(chunk.number), [w for w in chunk.number if w != b"\xff"]
+            for (lang, _), ids in chunk.groups():
+                def keep(k, places, counts):
+                    return set_in(bitmap, hashes(ids, words, lang, k, places), bits)
 
                 yield _counted(lang, [""], 0, [int((ids >= 0).sum())])
-                for k, places, counts in grams(ids, longest, set_bits):
+                for k, places, counts in grams(ids, longest, keep):
                     for at in range(0, len(places), 100_000):
                         some = places[at:at + 100_000]
                         columns = [map(said.__getitem__, ids[some + j].tolist()) for j in range(k)]
                         phrases = [b" ".join(p) for p in zip(*columns)]
                         yield _counted(lang, phrases, k, counts[at:at + 100_000])
 
-    return texts.mapInArrow(run, "lang string, phrase string, k int, n long")
+    rows = texts.mapInArrow(run, "lang string, phrase string, k int, n long")
+    return rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
 
 
 def _counted(lang, phrases, k, counts) -> pa.RecordBatch:
@@ -184,16 +221,21 @@ def _counted(lang, phrases, k, counts) -> pa.RecordBatch:
          pa.array([k] * len(phrases), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "k", "n"])
 
 
-def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard: int = SHARD,
-                     bits: int = BITS) -> DataFrame:
+def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS,
+                     chunk: int = CHUNK, bits: int = BITS) -> DataFrame:
     """(lang, phrase, k, n): every phrase of 1 to ``longest`` words with its exact count, if that
     is at least ``support``; k = 0 holds each language's words."""
-    texts = _texts(docs)
-    total = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).collect()[0]["n"] or 1
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(local_bits(texts, total, support, longest, shard, bits), bits))
-    counts = shard_counts(texts, sent, longest, shard, bits).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    texts, context = _texts(docs), docs.sparkSession.sparkContext
+    least = local_supports(texts, support, shards)
+    union = bitmap(locally_frequent(texts, least, range(1, 3), None, shards, chunk, bits), bits)
+    if longest > 2:
+        shorter = context.broadcast(union)
+        union = union | bitmap(locally_frequent(texts, least, range(3, longest + 1), shorter, shards, chunk, bits), bits)
+        shorter.unpersist()
+    known = context.broadcast(union)
+    counts = global_counts(texts, known, longest, chunk, bits)
     out = materialize(counts.where((F.col("n") >= support) | (F.col("k") == 0)), "frequent-phrases")
-    sent.unpersist()
+    known.unpersist()
     return out
 
 
@@ -240,6 +282,6 @@ def best_collocations(found: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, explained: int = 100,
-                 shard: int = SHARD, bits: int = BITS) -> DataFrame:
+                 shards: int = SHARDS, chunk: int = CHUNK, bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of whole documents."""
-    return best_collocations(scored(frequent_phrases(docs, support, longest, shard, bits), explained), top)
+    return best_collocations(scored(frequent_phrases(docs, support, longest, shards, chunk, bits), explained), top)

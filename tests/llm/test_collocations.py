@@ -61,23 +61,57 @@ def docs(spark):
     return build
 
 
-@pytest.mark.parametrize("support, shard, bits, explained", [(5, 10**6, 20, 100), (12, 700, 20, 100), (5, 300, 15, 60), (1, 500, 16, 100)])
-def test_against_a_plain_count(docs, support, shard, bits, explained):
+@pytest.mark.parametrize("support, shards, chunk, bits, explained", [
+    (5, 1, 10**6, 20, 100), (12, 4, 700, 20, 100), (5, 3, 300, 15, 60), (1, 200, 500, 16, 100)])
+def test_against_a_plain_count(docs, support, shards, chunk, bits, explained):
     rows = corpus(120)
-    found = C.collocations(docs(rows), support, top=40, explained=explained, shard=shard, bits=bits)
+    found = C.collocations(docs(rows), support, top=40, explained=explained, shards=shards, chunk=chunk, bits=bits)
     assert rows_of(found) == plain(rows, support, 40, explained)
 
 
 def test_collisions_change_no_result(docs):
     rows = corpus(60, seed=2)
-    full = C.frequent_phrases(docs(rows), 6, shard=500, bits=15).collect()
-    roomy = C.frequent_phrases(docs(rows), 6, shard=500, bits=24).collect()
+    full = C.frequent_phrases(docs(rows), 6, chunk=500, bits=15).collect()
+    roomy = C.frequent_phrases(docs(rows), 6, chunk=500, bits=24).collect()
     assert sorted(full) == sorted(roomy)
 
 
 def test_a_phrase_spread_over_all_shards_is_found(docs):
     rows = [("en", f"w{i} left right v{i}") for i in range(40)]
-    assert ("en", 1, "left right", 40, 40, 40, 160, 4000) in rows_of(C.collocations(docs(rows, 8), 40, shard=20))
+    assert ("en", 1, "left right", 40, 40, 40, 160, 4000) in rows_of(C.collocations(docs(rows, 8), 40, shards=20, chunk=20))
+
+
+def test_supports_follow_the_shares_of_bytes(docs):
+    import zlib
+
+    rows = [("en", f"text {i} " * (1 + i % 7)) for i in range(50)] + [("en", "copy " * 40)] * 30
+    got = C.local_supports(C._texts(docs(rows)), 100, 4)
+    sizes = Counter()
+    for _, text in rows:
+        sizes[zlib.crc32(text.encode()) % 4] += len(text)
+    assert got == {k: -(-100 * v // sum(sizes.values())) for k, v in sizes.items()} and sum(got.values()) >= 100
+
+
+def test_shards_are_mined_completely(docs):
+    """Every phrase with the lowered support in a shard has its bit set, whatever the chunks."""
+    import zlib
+
+    rows = [(lang, text) for lang, text in corpus(80, seed=4) if text]
+    texts, by_shard = C._texts(docs(rows)), defaultdict(list)
+    for lang, text in rows:
+        by_shard[zlib.crc32(text.encode()) % 3].append((lang, text))
+    least = C.local_supports(texts, 20, 3)
+    known = texts.sparkSession.sparkContext.broadcast(
+        C.bitmap(C.locally_frequent(texts, least, range(1, 3), None, 3, 400, 24), 24))
+    longer = C.bitmap(C.locally_frequent(texts, least, range(3, 6), known, 3, 400, 24), 24)
+    for shard, part in by_shard.items():
+        chunk = C.Chunk()
+        for lang, text in part:
+            chunk.add((lang if lang is not None else "und",), text.encode())
+        words = C.word_hashes(chunk.number)
+        for (lang,), ids in chunk.groups():
+            for k, places, counts in C.grams(ids, 5, lambda k, p, c: c >= least[shard]):
+                assert C.set_in(known.value if k < 3 else longer, C.hashes(ids, words, lang, k, places), 24).all()
 
 
 def test_empty_and_blank(docs):
