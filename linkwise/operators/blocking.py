@@ -58,14 +58,22 @@ def block_sizes(profiles: DataFrame, rule: BlockingRule | str) -> DataFrame:
     ).withColumn("record_pairs", (F.col("records") * (F.col("records") - 1) / 2).cast("bigint"))
 
 
+def hot_blocks(profiles: DataFrame, keys: list[str], size: int) -> tuple[DataFrame, int]:
+    """Keys whose block holds more than ``size`` profiles with their number of salts, and how many there are."""
+    hot = profiles.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn")).where(F.col("_bn") > size).select(
+        *keys, F.ceil(F.col("_bn") / size).cast("int").alias("_ns"))
+    return hot, hot.count()
+
+
 def rule_pairs(profiles: DataFrame, rule: BlockingRule | str, columns: list[str],
                earlier: list[BlockingRule | str] = (), match_key: int = 0,
-               salt_block_size: int = 50_000) -> DataFrame:
+               salt_block_size: int | None = 50_000) -> DataFrame:
     """Profile pairs found by ``rule`` and by none of ``earlier``.
 
     Output: ``rep_id_l, rep_id_r, pair_count, match_key`` and ``<col>_l``,
     ``<col>_r`` for ``columns``. A self-pair (``rep_id_l = rep_id_r``) stands
-    for the n(n-1)/2 pairs among a profile's copies.
+    for the n(n-1)/2 pairs among a profile's copies. ``salt_block_size`` None says that
+    no block is hot.
     """
     rule = rule if isinstance(rule, BlockingRule) else BlockingRule(rule)
     keys = rule.equi_keys()
@@ -75,12 +83,7 @@ def rule_pairs(profiles: DataFrame, rule: BlockingRule | str, columns: list[str]
                                 + [c for e in earlier for c in BlockingRule(e if isinstance(e, str) else e.sql).columns()]))
     prof = profiles.select("rep_id", "n", *needed)
 
-    hot = (
-        prof.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bn"))
-        .where(F.col("_bn") > salt_block_size)
-        .select(*keys, F.ceil(F.col("_bn") / salt_block_size).cast("int").alias("_ns"))
-    )
-    n_hot = hot.count()
+    hot, n_hot = hot_blocks(prof, keys, salt_block_size) if salt_block_size else (None, 0)
     if n_hot:
         hot = F.broadcast(hot) if n_hot <= HOT_KEY_BROADCAST_ROWS else hot
         prof = prof.join(hot, keys, "left")
