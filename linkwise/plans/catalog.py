@@ -23,7 +23,6 @@ from linkwise.operators.cluster import (
     assign_clusters,
     connected_components,
     profile_clusters,
-    with_cluster_size,
     with_primary,
 )
 from linkwise.operators.compare import compare
@@ -35,7 +34,8 @@ from linkwise.operators.prepare import (
     validate_rows,
     with_unique_id,
 )
-from linkwise.operators.score import attach_term_frequencies, score, term_frequencies
+from linkwise.operators.reach import reachable_pairs
+from linkwise.operators.score import above_threshold, attach_term_frequencies, score, term_frequencies
 from linkwise.operators.train import (
     Model,
     estimate_u,
@@ -124,7 +124,7 @@ def exact_results(spark, d):
     pairs = candidate_pairs(prof, FUZZY, [c.column for c in EXACT_COMPS])
     scored = score(compare(pairs, EXACT_COMPS), exact_model(rec))
     clusters = profile_clusters(scored, SCORE_THRESHOLD)
-    return with_cluster_size(assign_clusters(rec, prof, clusters, FUZZY_COLS))
+    return assign_clusters(rec, prof, clusters, FUZZY_COLS)
 
 
 def _r6(c):
@@ -516,6 +516,15 @@ def q_j3_multi_rule(spark, d):
     return fuzzy_pairs(spark, d, [])
 
 
+def q_j3_reachable(spark, d):
+    """Pairs above the threshold, formed without those that cannot reach it."""
+    rec = prepared(spark, d)
+    model = exact_model(rec)
+    pairs = reachable_pairs(fuzzy_profiles(spark, d), FUZZY, model, SCORE_THRESHOLD, [c.column for c in EXACT_COMPS])
+    found = above_threshold(score(compare(pairs, EXACT_COMPS), model), SCORE_THRESHOLD)
+    return found.select(*PAIR_KEYS, _r6("match_probability"))
+
+
 def q_j5_training_pairs(spark, d):
     prof = fuzzy_profiles(spark, d)
     parts = [rule_pairs(prof, r, [], match_key=k) for k, r in enumerate(TRAINING_RULES)]
@@ -784,6 +793,9 @@ STATISTICS_SQL = (
 
 
 SCORING = {
+    "j3_reachable": (q_j3_reachable, O.with_ctes(*_scored_sql(), select=(
+        "SELECT rep_id_l, rep_id_r, pair_count, match_key, round(match_probability, 6) AS match_probability FROM scored "
+        f"WHERE match_probability >= {SCORE_THRESHOLD}"))),
     "c1_predict": (q_c1_predict, O.with_ctes(*_scored_sql(), select=(
         "SELECT rep_id_l, rep_id_r, pair_count, match_key, round(match_weight, 6) AS match_weight, "
         "round(match_probability, 6) AS match_probability FROM scored"))),

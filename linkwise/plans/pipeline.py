@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkwise.operators.blocking import candidate_pairs, profile_table
-from linkwise.operators.cluster import assign_clusters, profile_clusters, with_cluster_size
+from linkwise.operators.cluster import assign_clusters, profile_clusters
 from linkwise.operators.compare import available_comparisons, compare
 from linkwise.operators.prepare import assert_batch_ok, prepare
 from linkwise.operators.quality import QualityReport, analyze
+from linkwise.operators.reach import reachable_pairs
 from linkwise.operators.score import score, with_term_frequencies
 from linkwise.operators.stats import cluster_statistics, clusters_by_size
 from linkwise.operators.train import Model, train
@@ -62,12 +63,15 @@ def build_profiles(records: DataFrame, spec: MatchSpec, persist: bool = True) ->
     return profiles, cols
 
 
-def score_pairs(records: DataFrame, profiles: DataFrame, spec: MatchSpec, model: Model) -> DataFrame:
-    """Blocked pairs of every rule, compared and scored."""
+def score_pairs(records: DataFrame, profiles: DataFrame, spec: MatchSpec, model: Model,
+                threshold: float | None = None) -> DataFrame:
+    """Blocked pairs of every rule, compared and scored (C1, C3); with a ``threshold`` those alone that can reach it."""
     comps, _ = available_comparisons(spec.comparisons, records.columns)
     tf_cols = [c.column for c in comps if c.term_frequency]
     profiles = with_term_frequencies(profiles, tf_cols)
-    pairs = candidate_pairs(profiles, spec, [c.column for c in comps] + [f"tf_{c}" for c in tf_cols])
+    columns = [c.column for c in comps] + [f"tf_{c}" for c in tf_cols]
+    pairs = (candidate_pairs(profiles, spec, columns) if threshold is None
+             else reachable_pairs(profiles, spec, model, threshold, columns, tf_cols))
     out = score(compare(pairs, comps), model, tf_cols)
     keep = ["rep_id_l", "rep_id_r", "pair_count", "match_key"] + [c.gamma for c in comps] + [
         "match_weight", "match_probability"]
@@ -76,13 +80,16 @@ def score_pairs(records: DataFrame, profiles: DataFrame, spec: MatchSpec, model:
 
 def deduplicate(records: DataFrame, profiles: DataFrame, profile_columns: list[str], spec: MatchSpec,
                 model: Model, threshold: float | None = None, persist: bool = True) -> DedupResult:
-    """Score, threshold, cluster, attach and count (C4). ``None`` = spec threshold."""
+    """Score, threshold, cluster, attach and count (C4). ``None`` = spec threshold.
+
+    ``scored`` holds the pairs that can reach the threshold; ``score_pairs`` without one gives all.
+    """
     t = spec.match_threshold if threshold is None else threshold
-    scored = score_pairs(records, profiles, spec, model)
+    scored = score_pairs(records, profiles, spec, model, t)
     if persist:
         scored = materialize(scored, "scored")
     clusters = profile_clusters(scored, t)
-    results = with_cluster_size(assign_clusters(records, profiles, clusters, profile_columns))
+    results = assign_clusters(records, profiles, clusters, profile_columns)
     if persist:
         # statistics and reports then read one table instead of repeating the joins
         results = materialize(results, "results")
