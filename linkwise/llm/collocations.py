@@ -10,8 +10,8 @@
    set, are counted by shard and kept in the same way. Equal hashes add up, which can only keep more.
 3. Union. The bitmap holds the locally frequent phrases of all shards. Its size is fixed whatever the corpus; it is put
    together by Spark from 4 KB pieces and sent to all tasks.
-4. Count. Tasks walk their texts again; phrases whose bits are set are counted exactly and go
-   by their words into one global sum. A phrase that shares a bit with another one is
+4. Count. Tasks walk their texts again; phrases whose bits are set are counted exactly and travel, many to a
+   row, to the bucket of their hash, where they are added up by their words. A phrase that shares a bit with another one is
    counted, exactly too, and then dropped by the support: collisions cost rows, never results.
 5. Score. A candidate's parts are frequent themselves, so their counts are in the same table. Scores are exact
    decimals. Candidates that a longer candidate explains are dropped; one more word is enough to look
@@ -25,6 +25,7 @@ table gives an empty result. Text is whole and its pieces never cross documents.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +43,8 @@ TOP = 2000
 SHARDS = 4
 #: Bytes of text that a task works on at once.
 CHUNK = 32_000_000
+#: Bytes of text for each bucket in which counts are added up.
+BUCKET = 16_000_000
 BITS = 27
 SALTS = 64
 #: Bits of one piece of Spark's bitmap functions.
@@ -141,12 +144,16 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("text <> ''")
 
 
-def local_supports(texts: DataFrame, support: int, shards: int) -> dict[int, int]:
-    """The lowered support of each shard that holds text."""
+def shard_sizes(texts: DataFrame, shards: int) -> dict[int, int]:
+    """Bytes of each shard that holds text."""
     sizes = texts.groupBy((F.crc32(F.col("text").cast("binary")) % shards).alias("shard")).agg(
         F.sum(F.octet_length("text").cast("long")).alias("size")).collect()
-    total = sum(r["size"] for r in sizes)
-    return {r["shard"]: -(-support * r["size"] // total) for r in sizes}
+    return {r["shard"]: r["size"] for r in sizes}
+
+
+def local_supports(sizes: dict[int, int], support: int) -> dict[int, int]:
+    """The lowered support of each shard: its share of all bytes, rounded up."""
+    return {shard: -(-support * size // sum(sizes.values())) for shard, size in sizes.items()}
 
 
 def locally_frequent(texts: DataFrame, least: dict[int, int], lengths: range, known, shards: int, size: int,
@@ -192,8 +199,9 @@ def bitmap(found: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def global_counts(texts: DataFrame, known, longest: int, size: int, bits: int) -> DataFrame:
-    """(lang, phrase, k, n): exact counts of phrases whose bits are set; k = 0: all words."""
+def chunk_counts(texts: DataFrame, known, longest: int, size: int, bits: int, buckets: int) -> DataFrame:
+    """(bucket, lang, k, phrases, n): exact counts in a chunk of phrases whose bits are set, a row
+    for each bucket of hashes; k = 0: all words."""
 
     def run(batches):
         bitmap = known.value
@@ -203,22 +211,52 @@ def global_counts(texts: DataFrame, known, longest: int, size: int, bits: int) -
                 def keep(k, places, counts):
                     return set_in(bitmap, hashes(ids, words, lang, k, places), bits)
 
-                yield _counted(lang, [""], 0, [int((ids >= 0).sum())])
+                yield _packed(lang, 0, np.zeros(1, np.int64), [b""], np.array([(ids >= 0).sum()]))
                 for k, places, counts in grams(ids, longest, keep):
-                    for at in range(0, len(places), 100_000):
-                        some = places[at:at + 100_000]
-                        columns = [map(said.__getitem__, ids[some + j].tolist()) for j in range(k)]
-                        phrases = [b" ".join(p) for p in zip(*columns)]
-                        yield _counted(lang, phrases, k, counts[at:at + 100_000])
+                    bucket = (hashes(ids, words, lang, k, places) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    places, counts, bucket = places[order], counts[order], bucket[order]
+                    columns = [map(said.__getitem__, ids[places + j].tolist()) for j in range(k)]
+                    yield _packed(lang, k, bucket, [b" ".join(p) for p in zip(*columns)], counts)
 
-    rows = texts.mapInArrow(run, "lang string, phrase string, k int, n long")
-    return rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "bucket long, lang string, k int, phrases array<string>, n array<long>")
 
 
-def _counted(lang, phrases, k, counts) -> pa.RecordBatch:
+def _packed(lang: str, k: int, bucket: np.ndarray, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket; ``bucket`` is sorted."""
+    own, first = np.unique(bucket, return_index=True)
+    ends = pa.array(np.append(first, len(bucket)).astype(np.int32))
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary() if k else pa.string()).cast(pa.string()),
-         pa.array([k] * len(phrases), pa.int32()), pa.array(counts, pa.int64())], ["lang", "phrase", "k", "n"])
+        [pa.array(own), pa.array([lang] * len(own), pa.string()), pa.array([k] * len(own), pa.int32()),
+         pa.ListArray.from_arrays(ends, pa.array(phrases, pa.binary()).cast(pa.string())),
+         pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64)))], ["bucket", "lang", "k", "phrases", "n"])
+
+
+def global_counts(packed: DataFrame, support: int) -> DataFrame:
+    """(lang, phrase, k, n) of the phrases that have the support over all chunks, and each language's words (k = 0).
+
+    A task adds up one bucket after the other.
+    """
+
+    def run(batches):
+        at, sums = None, Counter()
+        for batch in batches:
+            for bucket, lang, k, phrases, n in zip(*[c.to_pylist() for c in batch.columns]):
+                if bucket != at:
+                    yield _summed(sums, support)
+                    at, sums = bucket, Counter()
+                for phrase, count in zip(phrases, n):
+                    sums[lang, k, phrase] += count
+        yield _summed(sums, support)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "lang string, phrase string, k int, n long")
+
+
+def _summed(sums: Counter, support: int) -> pa.RecordBatch:
+    rows = [(lang, phrase, k, n) for (lang, k, phrase), n in sums.items() if n >= support or not k]
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)],
+                                      ["lang", "phrase", "k", "n"])
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS,
@@ -226,15 +264,16 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     """(lang, phrase, k, n): every phrase of 1 to ``longest`` words with its exact count, if that
     is at least ``support``; k = 0 holds each language's words."""
     texts, context = _texts(docs), docs.sparkSession.sparkContext
-    least = local_supports(texts, support, shards)
+    sizes = shard_sizes(texts, shards)
+    least = local_supports(sizes, support)
     union = bitmap(locally_frequent(texts, least, range(1, 3), None, shards, chunk, bits), bits)
     if longest > 2:
         shorter = context.broadcast(union)
         union = union | bitmap(locally_frequent(texts, least, range(3, longest + 1), shorter, shards, chunk, bits), bits)
         shorter.unpersist()
     known = context.broadcast(union)
-    counts = global_counts(texts, known, longest, chunk, bits)
-    out = materialize(counts.where((F.col("n") >= support) | (F.col("k") == 0)), "frequent-phrases")
+    packed = chunk_counts(texts, known, longest, chunk, bits, max(64, sum(sizes.values()) // BUCKET))
+    out = materialize(global_counts(packed, support), "frequent-phrases")
     known.unpersist()
     return out
 

@@ -85,7 +85,7 @@ def test_supports_follow_the_shares_of_bytes(docs):
     import zlib
 
     rows = [("en", f"text {i} " * (1 + i % 7)) for i in range(50)] + [("en", "copy " * 40)] * 30
-    got = C.local_supports(C._texts(docs(rows)), 100, 4)
+    got = C.local_supports(C.shard_sizes(C._texts(docs(rows)), 4), 100)
     sizes = Counter()
     for _, text in rows:
         sizes[zlib.crc32(text.encode()) % 4] += len(text)
@@ -100,7 +100,7 @@ def test_shards_are_mined_completely(docs):
     texts, by_shard = C._texts(docs(rows)), defaultdict(list)
     for lang, text in rows:
         by_shard[zlib.crc32(text.encode()) % 3].append((lang, text))
-    least = C.local_supports(texts, 20, 3)
+    least = C.local_supports(C.shard_sizes(texts, 3), 20)
     known = texts.sparkSession.sparkContext.broadcast(
         C.bitmap(C.locally_frequent(texts, least, range(1, 3), None, 3, 400, 24), 24))
     longer = C.bitmap(C.locally_frequent(texts, least, range(3, 6), known, 3, 400, 24), 24)
