@@ -8,7 +8,6 @@ and the prepared table is a single ``select``.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkwise.functions import validate as V
@@ -42,26 +41,32 @@ def content_key(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256)
 
 
-def with_unique_id(df: DataFrame, id_column: str | None = None, salts: int = 64) -> DataFrame:
+def with_unique_id(df: DataFrame, id_column: str | None = None, copies: int = 100_000) -> DataFrame:
     """Add a bigint ``unique_id``.
 
     With ``id_column`` the given key is used. Otherwise the id is the first 60 bits of
     SHA-256(content key, ordinal), the ordinal counting the copies of a row: the same rows get
-    the same ids however files are split. Copies are counted in ``salts`` parts with offsets
-    between them, so a row that makes up a third of the table is not one task.
+    the same ids however files are split, shuffled or read again. Copies are alike, so they are counted
+    (partial aggregation) and written out again by their count; more than ``copies`` of a
+    row are written out by several tasks.
     """
     if id_column:
         return df.withColumn("unique_id", F.col(id_column).cast("bigint"))
-    keyed = df.withColumn("__key", content_key(df)).withColumn(
-        "__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    sizes = keyed.groupBy("__key", "__salt").agg(F.count(F.lit(1)).alias("__n"))
-    order = W.partitionBy("__key").orderBy("__salt").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.select("__key", "__salt", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"))
-    number = F.row_number().over(W.partitionBy("__key", "__salt").orderBy(F.lit(0))) - 1
-    ranked = keyed.withColumn("__number", number).join(before, ["__key", "__salt"])
-    named = F.sha2(F.concat_ws(":", "__key", F.col("__before") + F.col("__number")).cast("binary"), 256)
+    names = df.columns
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+
+    def ordinals(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(start, end - 1)).alias("__ordinal")
+
+    few = counted.where(F.col("__n") <= copies).select(*names, ordinals(F.lit(0).cast("bigint"), F.col("__n")))
+    many = counted.where(F.col("__n") > copies).select(
+        *names, "__n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(copies).cast("bigint"))).alias("__from"))
+    ranges = many.repartition(*[F.col(c) for c in names], F.col("__from")).select(
+        *names, ordinals(F.col("__from"), F.least("__n", F.col("__from") + copies)))
+    numbered = few.unionByName(ranges)
+    named = F.sha2(F.concat_ws(":", content_key(df, names), "__ordinal").cast("binary"), 256)
     uid = F.conv(F.substring(named, 1, 15), 16, 10).cast("bigint")
-    return ranked.withColumn("unique_id", uid).drop("__key", "__salt", "__before", "__number")
+    return numbered.withColumn("unique_id", uid).drop("__ordinal")
 
 
 def _source_column(columns: list[str], field: str) -> str | None:

@@ -215,8 +215,12 @@ RAW_STR = ("CAST(rid AS VARCHAR) AS rid, npi, firstname, middlename, lastname, a
            "phone, gnpi, group_name, primary_spec_desc, address_status, phone_status")
 
 
+def _csv_value(c: str) -> str:
+    return f"CASE WHEN {c} IN ('null','NULL','None','NONE','') THEN NULL ELSE {c} END"
+
+
 def _csv_tok(c: str) -> str:
-    return f"CASE WHEN {c} IN ('null','NULL','None','NONE','') THEN NULL ELSE {c} END AS {c}"
+    return f"{_csv_value(c)} AS {c}"
 
 
 RAW_CSV = ", ".join(["CAST(rid AS VARCHAR) AS rid"] + [_csv_tok(c) for c in (
@@ -256,6 +260,32 @@ def q_s5_multi(spark, d):
     return load_multiple(spark, [base + "/a.csv", base + "/b.parquet"])
 
 
+def q_u1_reconciled(spark, d):
+    """Two Parquet files of different types and columns, JSON arrays and a CSV in one load."""
+    base, r = work_path(spark, "u1"), raw(spark, d)
+    part = {i: r.where(F.col("rid") % 4 == i) for i in range(4)}
+    part[0].select("rid", "npi", "city").write.parquet(base + "/a.parquet")
+    part[1].select(F.col("rid").cast("string").alias("rid"), "npi", "state").write.parquet(base + "/b.parquet")
+    _write_arrays(part[2].select("rid", "npi", "phone"), base + "/c.json")
+    part[3].select("rid", "npi", "city").write.option("header", True).csv(base + "/d.csv")
+    return load_multiple(spark, [f"{base}/{n}" for n in ("a.parquet", "b.parquet", "c.json", "d.csv")])
+
+
+def _write_arrays(df, path, records=500):
+    """JSON array files of about so many records each."""
+    bucket = F.floor(F.col("rid") / (10 * records))
+    rows = df.groupBy(bucket.alias("b")).agg(F.collect_list(F.to_json(F.struct(*df.columns))).alias("r"))
+    text = rows.select(F.concat(F.lit("["), F.array_join("r", ",\n"), F.lit("]")).alias("value"))
+    text.write.option("maxRecordsPerFile", 1).text(path)
+
+
+def q_s3_json_array(spark, d):
+    path = work_path(spark, "s3a") + ".json"
+    _write_arrays(raw(spark, d), path)
+    df = load(spark, path)
+    return df.select(*sorted(df.columns))
+
+
 def q_k2_csv_sink(spark, d):
     path = work_path(spark, "k2") + ".csv"
     save(prepared(spark, d), path)
@@ -321,6 +351,9 @@ SOURCES = {
     "s5_multi": (q_s5_multi, f"WITH {O.RAW} SELECT {RAW_CSV} FROM raw WHERE gnpi IS NULL UNION ALL "
                              f"SELECT {RAW_STR.replace('group_name,', 'NULL AS group_name,')} FROM raw "
                              f"WHERE gnpi IS NOT NULL"),
+    "u1_reconciled": (q_u1_reconciled, f"WITH {O.RAW}, t AS (SELECT *, rid % 4 AS q FROM raw) SELECT CAST(rid AS VARCHAR) AS rid, "
+                      f"CASE WHEN q = 3 THEN {_csv_value('npi')} ELSE npi END AS npi, CASE q WHEN 0 THEN city WHEN 3 THEN "
+                      f"{_csv_value('city')} END AS city, CASE q WHEN 1 THEN state END AS state, CASE q WHEN 2 THEN phone END AS phone FROM t"),
     "k2_csv_sink": (q_k2_csv_sink, "K2_PLACEHOLDER"),
     "k3_parquet_sink": (q_k3_parquet_sink, O.with_ctes(select="SELECT * FROM prepared")),
     "k4_json_sink": (q_k4_json_sink, "K4_PLACEHOLDER"),
@@ -984,6 +1017,7 @@ SOURCES["k2_csv_sink"] = (q_k2_csv_sink, O.with_ctes(select="SELECT CAST(unique_
     f"nullif({c}, '') AS {c}" for c in PREPARED_COLS[1:]) + " FROM prepared"))
 SOURCES["k4_json_sink"] = (q_k4_json_sink, SCORING["w1_cluster_size"][1].replace(
     "SELECT unique_id, cluster_size FROM results", "SELECT unique_id, cluster_id, cluster_size FROM results"))
+SOURCES["s3_json_array"] = (q_s3_json_array, SOURCES["s3_json"][1])
 SOURCES["k5_report"] = (q_k5_report, SCORING["a13_summary"][1])
 
 REGISTRY: dict[str, tuple] = {}

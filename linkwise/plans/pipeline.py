@@ -30,7 +30,11 @@ from linkwise.sources.reader import load
 class Prepared:
     records: DataFrame
     quarantine: DataFrame
-    profile: QualityReport
+
+    @property
+    def profile(self) -> QualityReport:
+        """The quality profile of the records, planned when it is asked for."""
+        return analyze(self.records)
 
 
 @dataclass
@@ -46,13 +50,13 @@ class DedupResult:
 
 def prepare_data(raw: DataFrame, id_column: str | None = None, fail_fast: bool = True,
                  persist: bool = True) -> Prepared:
-    """Batch check, row validation with quarantine, normalization, quality profile."""
+    """Batch check, row validation with quarantine, normalization; the quality profile on request."""
     if fail_fast:
         assert_batch_ok(raw)
     records, quarantine = prepare(raw, id_column)
     if persist:
         records = materialize(records, "prepared")
-    return Prepared(records, quarantine, analyze(records))
+    return Prepared(records, quarantine)
 
 
 def build_profiles(records: DataFrame, spec: MatchSpec, persist: bool = True) -> tuple[DataFrame, list[str]]:

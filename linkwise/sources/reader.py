@@ -7,9 +7,11 @@ column pruning and filter pushdown on the scan.
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,10 @@ from linkwise.functions.constants import CSV_NULL_TOKENS
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".pq": "parquet"}
 
 
+#: Options of one format's reader.
+OWN_OPTIONS = {"csv": {"multi_line"}, "json": {"lines"}, "parquet": {"columns"}}
+
+
 class DataLoadError(RuntimeError):
     """A source could not be read."""
 
@@ -80,36 +86,62 @@ def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) ->
     return as_strings(df)
 
 
-def load(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Pick the reader by file suffix."""
+@contextmanager
+def load_errors(path: str):
+    """Every failure of Spark while a source is opened becomes a ``DataLoadError``."""
+    try:
+        yield
+    except (PySparkException, Py4JJavaError) as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
+            raise DataLoadError(f"File not found: {path}") from exc
+        raise DataLoadError(f"Failed to load file {path}: {exc}") from exc
+
+
+def format_of(path: str) -> str:
     fmt = FORMATS.get(_suffix(path))
     if fmt is None:
         raise DataLoadError(f"Unsupported file format: {_suffix(path)}. Supported formats: {', '.join(FORMATS)}")
-    try:
+    return fmt
+
+
+def load(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Pick the reader by file suffix."""
+    fmt = format_of(path)
+    with load_errors(path):
         if fmt == "csv":
             return read_csv(spark, path, **options)
         if fmt == "json":
             return read_json(spark, path, **options)
         return read_parquet(spark, path, **options)
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            raise DataLoadError(f"File not found: {path}") from exc
-        raise DataLoadError(f"Failed to load file {path}: {exc}") from exc
+
+
+def options_for(fmt: str, options: dict) -> dict:
+    """The options that a format knows: its own ones, and for text formats all that no other one owns."""
+    own = OWN_OPTIONS[fmt]
+    others = {k for f, names in OWN_OPTIONS.items() if f != fmt for k in names}
+    return {k: v for k, v in options.items() if k in own or (fmt != "parquet" and k not in others)}
 
 
 def load_multiple(spark: SparkSession, paths: list[str], concat: bool = True, **options):
     """Several files; concatenated by column name with missing columns null.
 
-    Parquet and JSON paths are read by one scan per format; CSV files may differ in their
-    header and are read one by one.
+    Every file is read as ``load`` reads it alone and every failure is a ``DataLoadError``; an option goes to
+    the formats that know it. Parquet files are grouped by the schema of their footers: files of one
+    schema share a scan, each group is cast to strings on its own, so types and columns may differ.
     """
     if not concat:
-        return [load(spark, p, **options) for p in paths]
-    frames, columnar = [], [p for p in paths if FORMATS.get(_suffix(p)) == "parquet"]
-    if columnar:
-        frames.append(as_strings(spark.read.option("mergeSchema", "true").parquet(*columnar)))
-    lines = [p for p in paths if FORMATS.get(_suffix(p)) == "json"]
-    if lines:
-        frames.append(read_json(spark, lines, **options))
-    frames += [load(spark, p, **options) for p in paths if p not in columnar and p not in lines]
+        return [load(spark, p, **options_for(format_of(p), options)) for p in paths]
+    if not paths:
+        raise DataLoadError("No files to load")
+    frames, scans = [], {}
+    for path in paths:
+        fmt = format_of(path)
+        if fmt != "parquet":
+            frames.append(load(spark, path, **options_for(fmt, options)))
+            continue
+        with load_errors(path):
+            scans.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    for some in scans.values():
+        with load_errors(", ".join(some)):
+            frames.append(read_parquet(spark, some, **options_for("parquet", options)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

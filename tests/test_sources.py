@@ -1,10 +1,11 @@
 """CSV dialect, ids from content, work folder."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkwise import session
 from linkwise.operators.prepare import with_unique_id
-from linkwise.sources.reader import load
+from linkwise.sources.reader import DataLoadError, load, load_multiple
 from linkwise.sources.writer import save
 
 
@@ -47,6 +48,60 @@ def test_ids_do_not_depend_on_files(spark, tmp_path):
     assert len({r[2] for r in got[0]}) == 300
 
 
+def test_ids_of_a_row_with_many_copies(spark):
+    """Copies beyond one task's share, in any order and any number of partitions."""
+    rows = [("hot", None)] * 400 + [("hot", "")] * 7 + [(f"n{i}", "x") for i in range(600)]
+    got = []
+    for seed, parts, copies in ((1, 3, 100_000), (2, 7, 30), (3, 1, 399), (4, 2, 400)):
+        df = spark.createDataFrame(rows, "a string, b string").repartition(parts).orderBy(F.rand(seed))
+        ids = with_unique_id(df, copies=copies)
+        got.append(sorted((r.a, r.b is None, r.unique_id) for r in ids.collect()))
+    assert all(g == got[0] for g in got) and len({g[2] for g in got[0]}) == len(rows)
+    assert with_unique_id(spark.createDataFrame([], "a string")).count() == 0
+
+
+@pytest.fixture
+def mixed_files(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "id long, x string").write.parquet(str(tmp_path / "a.parquet"))
+    spark.createDataFrame([("2", 0.5)], "id string, y double").write.parquet(str(tmp_path / "b.parquet"))
+    spark.createDataFrame([(3, "c")], "id long, x string").write.parquet(str(tmp_path / "c.parquet"))
+    (tmp_path / "d.json").write_text('[{"id": 4, "x": "d"}, {"id": 5, "z": true}]')
+    (tmp_path / "e.csv").write_text("id,y\n6,None\n")
+    return [str(tmp_path / n) for n in ("a.parquet", "b.parquet", "c.parquet", "d.json", "e.csv")]
+
+
+def test_files_of_different_types_and_columns(spark, mixed_files):
+    got = load_multiple(spark, mixed_files)
+    assert set(got.dtypes) == {(c, "string") for c in ("id", "x", "y", "z")}
+    assert sorted((r.id, r.x, r.y, r.z) for r in got.collect()) == [
+        ("1", "a", None, None), ("2", None, "0.5", None), ("3", "c", None, None), ("4", "d", None, None),
+        ("5", None, None, "true"), ("6", None, None, None)]
+    alone = load_multiple(spark, mixed_files, concat=False)
+    assert [f.count() for f in alone] == [1, 1, 1, 2, 1]
+
+
+def test_options_go_to_the_formats_that_know_them(spark, mixed_files, tmp_path):
+    (tmp_path / "f.json").write_text('{"id": 7}\n{"id": 8}\n')
+    (tmp_path / "g.csv").write_text("id;y\n9;z\n")
+    paths = [mixed_files[0], str(tmp_path / "f.json"), str(tmp_path / "g.csv")]
+    got = load_multiple(spark, paths, lines=True, sep=";", columns=["id"], multi_line=False)
+    assert sorted(r.id for r in got.collect()) == ["1", "7", "8", "9"] and "x" not in got.columns
+
+
+@pytest.mark.parametrize("name, message", [("none.parquet", "File not found"), ("none.csv", "File not found"),
+                                           ("none.json", "File not found"), ("a.xlsx", "Unsupported"), ("bad.parquet", "Failed to load")])
+def test_every_failure_is_a_load_error(spark, mixed_files, tmp_path, name, message):
+    (tmp_path / "bad.parquet").write_text("no parquet at all")
+    for concat in (True, False):
+        with pytest.raises(DataLoadError, match=message):
+            load_multiple(spark, [mixed_files[0], str(tmp_path / name)], concat=concat)
+
+
+def test_no_files_is_a_load_error(spark):
+    with pytest.raises(DataLoadError):
+        load_multiple(spark, [])
+
+
 class _Context:
     def __init__(self, master, folder=None):
         self.master, self.folder, self.applicationId = master, folder, "app-1"
