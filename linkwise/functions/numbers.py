@@ -1,15 +1,13 @@
-"""English number words -> digits ("three hundred oak" -> "300 oak").
+"""English number words -> digits ("three hundred and twenty-one oak" -> "321 oak").
 
-Off by default in address normalization. An Arrow-batched pandas UDF around a
-small per-string helper; strings without a number word pass through unchanged.
+Off by default in address normalization. A fold over the words of the string with built-in
+functions; only strings that hold a number word are folded.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql import functions as F
 
 # FIXED VALUES: number words
 UNITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve",
@@ -17,54 +15,48 @@ UNITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight",
 TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 SCALES = {"thousand": 1_000, "million": 1_000_000}
 
-_UNIT = {w: i for i, w in enumerate(UNITS)}
-_TEN = {w: 20 + 10 * i for i, w in enumerate(TENS)}
+HUNDRED = "hundred"
+START = "struct(cast(array() as array<string>) as out, 0L as total, 0L as current, '' as last, false as held)"
 
 
-def convert(text: str) -> str:
-    out: list[str] = []
-    total = current = 0
-    last = None  # kind of the previous number word
-    active = False
+def _table(values: dict[str, int | str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
-    def flush():
-        nonlocal total, current, active, last
-        if active:
-            out.append(str(total + current))
-        total = current = 0
-        active = False
-        last = None
 
-    for tok in text.split():
-        if tok in _UNIT:
-            if last in ("unit", "tens") and not (last == "tens" and _UNIT[tok] < 10):
-                flush()
-            current += _UNIT[tok]
-            last, active = "unit", True
-        elif tok in _TEN:
-            if last in ("unit", "tens"):
-                flush()
-            current += _TEN[tok]
-            last, active = "tens", True
-        elif tok == "hundred" and active:
-            current = max(current, 1) * 100
-            last = "hundred"
-        elif tok in SCALES and active:
-            total += max(current, 1) * SCALES[tok]
-            current = 0
-            last = "scale"
-        else:
-            flush()
-            out.append(tok)
-    flush()
-    return " ".join(out)
+_VALUES = {w: i for i, w in enumerate(UNITS)} | {w: 20 + 10 * i for i, w in enumerate(TENS)} | SCALES
+_KINDS = dict.fromkeys(UNITS, "unit") | dict.fromkeys(TENS, "tens") | dict.fromkeys(SCALES, "scale") | {HUNDRED: HUNDRED}
 
 
-@pandas_udf(StringType())
-def _words_to_digits(s: pd.Series) -> pd.Series:
-    return s.map(lambda v: None if v is None else convert(v))
+def _step(state: Column, word: Column) -> Column:
+    """The state after one more word.
+
+    ``last`` is the kind of the number word before ('' outside a number), ``held`` an "and" after
+    hundreds or thousands that belongs to the number only if units or tens follow.
+    """
+    out, total, current, last, held = (state[n] for n in ("out", "total", "current", "last", "held"))
+    value, kind = F.coalesce(_table(_VALUES)[word], F.lit(0)).cast("bigint"), F.coalesce(_table(_KINDS)[word], F.lit(""))
+    inside, small = last != "", kind.isin("unit", "tens")
+    holds = (word == "and") & last.isin(HUNDRED, "scale") & ~held
+    # a unit goes on after tens, tens and units after hundreds and scales
+    goes_on = inside & F.when(small, last.isin(HUNDRED, "scale") | ((last == "tens") & (kind == "unit") & value.between(1, 9))).otherwise(
+        kind.isin(HUNDRED, "scale") & ~held)
+    starts = small & ~goes_on
+    closed = F.concat(out, F.when(inside, F.array((total + current).cast("string"))).otherwise(F.array().cast("array<string>")),
+                      F.when(held, F.array(F.lit("and"))).otherwise(F.array().cast("array<string>")))
+    at_least = F.greatest(current, F.lit(1).cast("bigint"))
+    new_total = F.when(goes_on & (kind == "scale"), total + at_least * value).when(goes_on | holds, total).otherwise(F.lit(0).cast("bigint"))
+    new_current = (F.when(goes_on & small, current + value).when(goes_on & (kind == HUNDRED), at_least * 100)
+                   .when(holds, current).when(starts, value).otherwise(F.lit(0).cast("bigint")))
+    new_out = F.when(goes_on | holds, out).when(starts, closed).otherwise(F.concat(closed, F.array(word)))
+    return F.struct(new_out.alias("out"), new_total.alias("total"), new_current.alias("current"),
+                    F.when(goes_on | starts, kind).when(holds, last).otherwise("").alias("last"), holds.alias("held"))
 
 
 def words_to_digits(c: Column) -> Column:
-    """Apply ``convert`` to a (lower-cased) string column."""
-    return _words_to_digits(c)
+    """Number words of a lower-case string as digits; other strings as they are."""
+    # "twenty-one" is two words
+    apart = F.regexp_replace(c, rf"\b({'|'.join(TENS)})-({'|'.join(UNITS[1:10])})\b", "$1 $2")
+    # a last empty word closes an open number
+    words = F.concat(F.split(F.trim(apart), r"\s+"), F.array(F.lit("")))
+    folded = F.aggregate(words, F.expr(START), _step, lambda s: F.trim(F.array_join(s["out"], " ")))
+    return F.when(c.rlike(rf"\b({'|'.join(UNITS + TENS)})\b"), folded).otherwise(c)

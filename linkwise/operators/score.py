@@ -34,16 +34,6 @@ def term_frequencies(records: DataFrame, column: str) -> DataFrame:
     return counts.select(F.col(column).alias("value"), (F.col("_nv") / F.lit(max(total, 1))).alias("tf"))
 
 
-def attach_term_frequencies(pairs: DataFrame, records: DataFrame, columns: list[str]) -> DataFrame:
-    """Add ``tf_<col>_l`` / ``tf_<col>_r`` (J7): two lookups per column."""
-    for c in columns:
-        tf = term_frequencies(records, c)
-        for side in ("l", "r"):
-            side_tf = tf.select(F.col("value").alias(f"{c}_{side}"), F.col("tf").alias(f"tf_{c}_{side}"))
-            pairs = pairs.join(side_tf, f"{c}_{side}", "left")
-    return pairs
-
-
 def with_term_frequencies(profiles: DataFrame, columns: list[str]) -> DataFrame:
     """Profiles with ``tf_<col>``: the share of records holding their value, from the profiles'
     counts. Pairs formed from them carry both sides' figures without a join on a hot value."""

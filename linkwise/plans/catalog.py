@@ -8,7 +8,7 @@ Every query reads the supplied ``customer`` table through the provider view
 from __future__ import annotations
 
 import math
-import os
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from linkwise.functions import normalize as N
 from linkwise.functions import validate as V
 from linkwise.functions.constants import TRAINING_RULES
+from linkwise.functions.numbers import TENS, UNITS
 from linkwise.operators import quality as Q
 from linkwise.operators import stats as S
 from linkwise.operators.blocking import block_sizes, candidate_pairs, profile_table, rule_pairs
@@ -35,7 +36,7 @@ from linkwise.operators.prepare import (
     with_unique_id,
 )
 from linkwise.operators.reach import reachable_pairs
-from linkwise.operators.score import above_threshold, attach_term_frequencies, score, term_frequencies
+from linkwise.operators.score import above_threshold, score, term_frequencies, with_term_frequencies
 from linkwise.operators.train import (
     Model,
     estimate_u,
@@ -48,7 +49,7 @@ from linkwise.operators.train import (
 )
 from linkwise.plans import oracle as O
 from linkwise.plans import oracle_model as OM
-from linkwise.plans.pipeline import prepare_data, run_deduplication, run_file
+from linkwise.plans.pipeline import prepare_data, run_deduplication, run_file, score_pairs
 from linkwise.plans.spec import Comparison, MatchSpec, preset_strict, spec_fuzzy
 from linkwise.session import work_path
 from linkwise.sources.fixture import odd_records, provider_records
@@ -298,18 +299,40 @@ def q_k3_parquet_sink(spark, d):
     return spark.read.parquet(path)
 
 
+def _cluster_rows(df):
+    return df.select(F.lit("results").alias("part"), F.col("unique_id").cast("string").alias("item"),
+                     F.concat_ws(":", "cluster_id", "cluster_size").alias("value"))
+
+
 def q_k4_json_sink(spark, d):
+    """Records, their count and the statistics, all read back from the JSON output."""
     path = work_path(spark, "k4") + ".json"
     res = exact_results(spark, d).select("unique_id", "cluster_id", "cluster_size")
     save(res, path, statistics=S.cluster_statistics(res))
-    return spark.read.json(path + "/records").select("unique_id", "cluster_id", "cluster_size")
+    back, meta = spark.read.json(path + "/records"), spark.read.json(path + "/metadata")
+    stats = {f"statistics.{c}": F.round(F.col(f"statistics.{c}").cast("double"), 6) for c in STATISTICS}
+    values = {"record_count": F.col("record_count").cast("double")} | stats
+    long = meta.select(F.explode(F.array(*[F.struct(F.lit(k).alias("item"), v.alias("n")) for k, v in values.items()])).alias("r"))
+    return _cluster_rows(back).withColumn("n", F.lit(None).cast("double")).unionByName(
+        long.select(F.lit("metadata").alias("part"), "r.item", F.lit(None).cast("string").alias("value"), "r.n"))
 
 
 def q_k5_report(spark, d):
+    """The three tables of the report, all read back."""
     path = work_path(spark, "k5")
     res = exact_results(spark, d).select("unique_id", "cluster_id", "cluster_size")
     out = save_report(res, S.statistics_long(res), S.summary_table(res), path)
-    return spark.read.parquet(out["summary"])
+    results, statistics, summary = (spark.read.parquet(out[k]) for k in ("results", "statistics", "summary"))
+    numbers = statistics.select(F.lit("statistics").alias("part"), F.concat_ws("/", "category", "metric").alias("item"),
+                                F.lit(None).cast("string").alias("value"), F.round(F.col("value").cast("double"), 6).alias("n"))
+    said = summary.select(F.lit("summary").alias("part"), F.col("metric").alias("item"), "value")
+    return _cluster_rows(results).unionByName(said).withColumn("n", F.lit(None).cast("double")).unionByName(numbers)
+
+
+STATISTICS = ["total_records", "unique_clusters", "duplicates_found", "duplication_rate", "largest_cluster_size",
+              "average_cluster_size"]
+CLUSTER_ROWS_SQL = ("SELECT 'results' AS part, CAST(unique_id AS VARCHAR) AS item, cluster_id || ':' || cluster_size AS value, "
+                    "CAST(NULL AS DOUBLE) AS n FROM results")
 
 
 def q_s2_csv_text(spark, d):
@@ -472,10 +495,24 @@ def q_n6_normalize(spark, d):
         "rid", "unique_id")
 
 
+def _spelled(number: str) -> str:
+    """SQL for a number of three digits in words ("four hundred and twenty-one")."""
+    units, tens = ",".join(UNITS), ",".join(TENS)
+
+    def pick(values, index):
+        return f"split_part('{values}', ',', CAST({index} + 1 AS INT))"
+
+    rest = f"({number} % 100)"
+    small = (f"CASE WHEN {rest} < 20 THEN {pick(units, rest)} ELSE concat({pick(tens, f'floor({rest} / 10) - 2')}, CASE WHEN "
+             f"{rest} % 10 = 0 THEN '' ELSE concat('-', {pick(units, f'({rest} % 10)')}) END) END")
+    return (f"concat({pick(units, f'floor({number} / 100)')}, ' hundred', CASE WHEN {rest} = 0 THEN '' "
+            f"ELSE concat(' and ', {small}) END)")
+
+
 def q_n7_number_words(spark, d):
-    r = raw(spark, d)
-    return r.select(F.col("rid").alias("unique_id"), N.normalize_address(F.col("address1"), number_words=True)
-                    .alias("address1_norm"))
+    """Addresses whose house number is spelled out; the SQL normalizes them with the number in digits."""
+    r = raw(spark, d).withColumn("said", F.concat(F.expr(_spelled("CAST(substring(address1, 1, 3) AS INT)")), F.substring("address1", 4, 99)))
+    return r.select(F.col("rid").alias("unique_id"), N.normalize_address(F.col("said"), number_words=True).alias("address1_norm"))
 
 
 def q_n8_phone_length(spark, d):
@@ -572,9 +609,9 @@ def q_j6_random_pairs(spark, d):
 
 
 def q_j7_tf_join(spark, d):
-    pairs = fuzzy_pairs(spark, d, ["family_name"])
-    out = attach_term_frequencies(pairs, prepared(spark, d), ["family_name"])
-    return out.select(*PAIR_KEYS, _r6("tf_family_name_l"), _r6("tf_family_name_r"))
+    profiles = with_term_frequencies(fuzzy_profiles(spark, d), ["family_name"])
+    return candidate_pairs(profiles, FUZZY, ["tf_family_name"]).select(
+        *PAIR_KEYS, _r6("tf_family_name_l"), _r6("tf_family_name_r"))
 
 
 def _gamma_q(comps):
@@ -715,9 +752,8 @@ def q_c3_tf_adjust(spark, d):
     comps = [Comparison(c.column, "exact", term_frequency=(c.column == "family_name")) for c in EXACT_COMPS]
     model = exact_model(rec)
     model = Model(comps, model.m, model.u, model.prior)
-    pairs = candidate_pairs(profile_table(rec, FUZZY_COLS), FUZZY, [c.column for c in comps])
-    g = attach_term_frequencies(compare(pairs, comps, keep_values=True), rec, ["family_name"])
-    return score(g, model, ["family_name"]).select(*PAIR_KEYS, _r6("match_weight"))
+    found = score_pairs(rec, profile_table(rec, FUZZY_COLS), replace(FUZZY, comparisons=tuple(comps)), model)
+    return found.select(*PAIR_KEYS, _r6("match_weight"))
 
 
 def q_p17_threshold(spark, d):
@@ -825,6 +861,15 @@ STATISTICS_SQL = (
     f"UNION ALL SELECT 'General', 'average_cluster_size', avg(cluster_size) FROM {_SIZES})")
 
 
+SUMMARY_SQL = (
+    "SELECT * FROM (SELECT 1 AS ord, 'Total Records' AS metric, CAST(count(*) AS VARCHAR) "
+                                "AS value FROM results UNION ALL SELECT 2, 'Unique Clusters', CAST(count(DISTINCT "
+                                "cluster_id) AS VARCHAR) FROM results UNION ALL SELECT 3, 'Duplicates Found', "
+                                "CAST(count(*) - count(DISTINCT cluster_id) AS VARCHAR) FROM results UNION ALL SELECT "
+                                "4, 'Duplication Rate', printf('%.2f%%', (count(*) - count(DISTINCT cluster_id)) * "
+                                "100.0 / count(*)) FROM results UNION ALL SELECT 5, 'Largest Cluster', "
+                                "CAST(max(cluster_size) AS VARCHAR) FROM results)")
+
 SCORING = {
     "j3_reachable": (q_j3_reachable, O.with_ctes(*_scored_sql(), select=(
         "SELECT rep_id_l, rep_id_r, pair_count, match_key, round(match_probability, 6) AS match_probability FROM scored "
@@ -868,23 +913,19 @@ SCORING = {
                     "average_cluster_size FROM (SELECT cluster_id, count(*) AS cluster_size FROM results GROUP BY "
                     "cluster_id))")),
     "a13_summary": (lambda s, d: S.summary_table(_res(s, d)),
-                    _res_select("SELECT * FROM (SELECT 1 AS ord, 'Total Records' AS metric, CAST(count(*) AS VARCHAR) "
-                                "AS value FROM results UNION ALL SELECT 2, 'Unique Clusters', CAST(count(DISTINCT "
-                                "cluster_id) AS VARCHAR) FROM results UNION ALL SELECT 3, 'Duplicates Found', "
-                                "CAST(count(*) - count(DISTINCT cluster_id) AS VARCHAR) FROM results UNION ALL SELECT "
-                                "4, 'Duplication Rate', printf('%.2f%%', (count(*) - count(DISTINCT cluster_id)) * "
-                                "100.0 / count(*)) FROM results UNION ALL SELECT 5, 'Largest Cluster', "
-                                "CAST(max(cluster_size) AS VARCHAR) FROM results)")),
+                    _res_select(SUMMARY_SQL)),
     "a14_size_table": (lambda s, d: S.clusters_by_size(_res(s, d)),
                        _res_select("SELECT cluster_size, count(*) AS n_clusters, cluster_size * count(*) AS "
                                    "total_records FROM (SELECT cluster_id, count(*) AS cluster_size FROM results GROUP "
                                    "BY cluster_id) GROUP BY cluster_size")),
     "a12_statistics_long": (lambda s, d: _long_values(S.statistics_long(_res(s, d))), _res_select(STATISTICS_SQL)),
-    "a15_histogram": (lambda s, d: S.size_histogram(_res(s, d)).select("bin", "n_clusters"), _res_select(
-        "SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((cluster_size - lo) / ((hi - lo) / 20.0)) + 1, 20) "
-        "END AS INT) AS bin, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS cluster_size FROM results "
+    "a15_histogram": (lambda s, d: S.size_histogram(_res(s, d)).select(
+        "bin", _r6("lower"), _r6("upper"), "n_clusters"), _res_select(
+        "SELECT bin, round(lo + (bin - 1) * (hi - lo) / 20.0, 6) AS lower, round(lo + bin * (hi - lo) / 20.0, 6) AS upper, n_clusters "
+        "FROM (SELECT CAST(CASE WHEN hi = lo THEN 1 ELSE least(floor((cluster_size - lo) / ((hi - lo) / 20.0)) + 1, 20) "
+        "END AS INT) AS bin, any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS n_clusters FROM (SELECT cluster_id, count(*) AS cluster_size FROM results "
         "GROUP BY cluster_id), (SELECT min(c) AS lo, max(c) AS hi FROM (SELECT count(*) AS c FROM results GROUP BY "
-        "cluster_id)) GROUP BY 1")),
+        "cluster_id)) GROUP BY 1)")),
     "t2_sample": (lambda s, d: S.sample_clusters(_res(s, d)).select("cluster_id", "npi", "given_name", "family_name",
                                                                     "cluster_size"),
                   _res_select("SELECT cluster_id, npi, given_name, family_name, cluster_size FROM results WHERE "
@@ -955,20 +996,25 @@ def _q_sql(select: str, extra: list[str] = ()) -> str:
     return O.with_ctes(*_score_sql("prepared", PREPARED_COLS), *extra, select=select)
 
 
-ANALYZE_SQL = (
-    "SELECT family, item, CAST(value AS DOUBLE) AS value FROM (SELECT 'total_records' AS family, '' AS item, count(*) AS "
-    "value FROM prepared UNION ALL SELECT 'duplicate_records', '', d FROM dups UNION ALL SELECT 'missing', column_name, "
-    "percentage FROM missing UNION ALL SELECT 'score', '', round(data_quality_score, 6) FROM score UNION ALL SELECT "
-    f"'recommendation', text, rule FROM ({_recs_sql('prepared', PREPARED_COLS)}) UNION ALL SELECT 'address_status', "
-    "address_status, count(*) FROM prepared GROUP BY address_status UNION ALL SELECT 'phone_status', phone_status, count(*) "
-    "FROM prepared GROUP BY phone_status UNION ALL SELECT 'state_distribution', 'unique_states', count(DISTINCT state) FROM "
-    "prepared UNION ALL (SELECT 'top_states', state, count(*) AS c FROM prepared GROUP BY state ORDER BY c DESC, state "
-    "LIMIT 5) UNION ALL SELECT 'phone_validity', 'valid_count', count_if(length(phone) >= 10) FROM prepared UNION ALL SELECT "
-    "'phone_validity', 'invalid_count', count_if(length(phone) < 10) FROM prepared UNION ALL SELECT 'phone_validity', "
-    "'missing_count', count_if(phone IS NULL) FROM prepared UNION ALL SELECT 'group_practice', 'unique_groups', "
-    "count(DISTINCT group_npi) FROM prepared WHERE group_npi <> '' UNION ALL SELECT 'group_practice', 'largest_group_size', "
-    "max(c) FROM (SELECT count(*) AS c FROM prepared WHERE group_npi <> '' GROUP BY group_npi) UNION ALL SELECT "
-    "'group_practice', 'solo_practitioners', count_if(coalesce(group_npi, '') = '') FROM prepared)")
+def _analyze_sql(src: str, cols: list[str]) -> str:
+    parts = [f"SELECT 'total_records' AS family, '' AS item, count(*) AS value FROM {src}",
+             "SELECT 'duplicate_records', '', d FROM dups", "SELECT 'missing', column_name, percentage FROM missing",
+             "SELECT 'score', '', round(data_quality_score, 6) FROM score",
+             f"SELECT 'recommendation', text, rule FROM ({_recs_sql(src, cols)})"]
+    parts += [f"SELECT '{c}', {c}, count(*) FROM {src} WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("address_status", "phone_status")]
+    parts += [f"SELECT 'state_distribution', 'unique_states', count(DISTINCT state) FROM {src}",
+              f"(SELECT 'top_states', state, count(*) AS c FROM {src} WHERE state IS NOT NULL GROUP BY state ORDER BY c DESC, state LIMIT 5)"]
+    parts += [f"SELECT 'phone_validity', '{k}', count_if({cond}) FROM {src}" for k, cond in (
+        ("valid_count", "length(phone) >= 10"), ("invalid_count", "length(phone) < 10"), ("missing_count", "phone IS NULL"))]
+    if "group_npi" in cols:
+        groups = f"(SELECT count(*) AS c FROM {src} WHERE group_npi <> '' GROUP BY group_npi)"
+        parts += [f"SELECT 'group_practice', 'unique_groups', count(*) FROM {groups}",
+                  f"SELECT 'group_practice', 'largest_group_size', max(c) FROM {groups}",
+                  f"SELECT 'group_practice', 'solo_practitioners', count_if(coalesce(group_npi, '') = '') FROM {src}"]
+    return "SELECT family, item, CAST(value AS DOUBLE) AS value FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+ANALYZE_SQL = _analyze_sql("prepared", PREPARED_COLS)
 
 QUALITY = {
     "a1_total": (lambda s, d: Q.total_records(prepared(s, d)),
@@ -1004,9 +1050,8 @@ QUALITY = {
     "t4_first_recommendations": (lambda s, d: Q.first_recommendations(raw(s, d)),
                                  f"WITH {O.RAW}, " + ", ".join(_score_sql("raw", RAW_COLS)) +
                                  f" SELECT * FROM ({_recs_sql('raw', RAW_COLS)}) ORDER BY rule LIMIT 3"),
-    "c7_quality_only": (lambda s, d: Q.quality_score(raw(s, d)).select(_r6("data_quality_score")),
-                        f"WITH {O.RAW}, " + ", ".join(_score_sql("raw", RAW_COLS)) +
-                        " SELECT round(data_quality_score, 6) AS data_quality_score FROM score"),
+    "c7_quality_only": (lambda s, d: Q.long_form(raw(s, d)),
+                        f"WITH {O.RAW}, " + ", ".join(_score_sql("raw", RAW_COLS)) + " " + _analyze_sql("raw", RAW_COLS)),
     "a10_analyze": (lambda s, d: Q.long_form(prepared(s, d)), _q_sql(ANALYZE_SQL)),
     "c8_prepare": (lambda s, d: Q.long_form(prepare_data(raw(s, d), "rid").records), _q_sql(ANALYZE_SQL)),
 }
@@ -1015,10 +1060,13 @@ QUALITY = {
 # CSV has no blank/null distinction: blank strings read back as null
 SOURCES["k2_csv_sink"] = (q_k2_csv_sink, O.with_ctes(select="SELECT CAST(unique_id AS VARCHAR) AS unique_id, " + ", ".join(
     f"nullif({c}, '') AS {c}" for c in PREPARED_COLS[1:]) + " FROM prepared"))
-SOURCES["k4_json_sink"] = (q_k4_json_sink, SCORING["w1_cluster_size"][1].replace(
-    "SELECT unique_id, cluster_size FROM results", "SELECT unique_id, cluster_id, cluster_size FROM results"))
+SOURCES["k4_json_sink"] = (q_k4_json_sink, _res_select(
+    f"{CLUSTER_ROWS_SQL} UNION ALL SELECT 'metadata', 'statistics.' || metric, NULL, value FROM ({STATISTICS_SQL}) WHERE category = 'General' "
+    "UNION ALL SELECT 'metadata', 'record_count', NULL, count(*) FROM results"))
 SOURCES["s3_json_array"] = (q_s3_json_array, SOURCES["s3_json"][1])
-SOURCES["k5_report"] = (q_k5_report, SCORING["a13_summary"][1])
+SOURCES["k5_report"] = (q_k5_report, _res_select(
+    f"{CLUSTER_ROWS_SQL} UNION ALL SELECT 'summary', metric, value, NULL FROM ({SUMMARY_SQL}) "
+    f"UNION ALL SELECT 'statistics', category || '/' || metric, NULL, value FROM ({STATISTICS_SQL})"))
 
 REGISTRY: dict[str, tuple] = {}
 for group in (SOURCES, VALIDATION, BLOCKING, SCORING, QUALITY):

@@ -53,14 +53,44 @@ def test_idempotent(spark):
     assert all(r["v"] == r["w"] for r in twice.collect())
 
 
-def test_number_words():
-    from linkwise.functions.numbers import convert
-
-    assert convert("three hundred main street") == "300 main street"
-    assert convert("twenty three oak") == "23 oak"
-    assert convert("one two") == "1 2"
-    assert convert("two thousand five hundred") == "2500"
-    assert convert("main street") == "main street"
+NUMBER_WORDS = {
+    "three hundred oak": "300 oak", "twenty-one elm": "21 elm", "one hundred and twenty": "120", "ninety nine": "99",
+    "two thousand three hundred and five main st": "2305 main st", "one million two": "1000002", "five six": "5 6",
+    "twenty twelve": "20 12", "twenty zero": "20 0", "one hundred and oak": "100 and oak", "oak and pine": "oak and pine",
+    "hundred oaks": "hundred oaks", "thousand one": "thousand 1", "one  hundred   st": "100 st", "stone often": "stone often",
+    "one hundred and one and two": "101 and 2", "nineteen hundred": "1900", "one hundred and hundred": "100 and hundred", "": "",
+    "ten": "10", "suite four, floor two": "suite four, floor 2", "one hundred and and two": "100 and and 2",
+}
+
+
+def test_number_words(spark):
+    from pyspark.sql import functions as F
+
+    from linkwise.functions.numbers import words_to_digits
+
+    df = spark.createDataFrame([*NUMBER_WORDS.items(), (None, None)], "said string, expected string")
+    rows = df.select("said", "expected", words_to_digits(F.col("said")).alias("got")).collect()
+    assert [(r.said, r.got) for r in rows] == [(r.said, r.expected) for r in rows]
+
+
+def test_every_number_is_read_back(spark):
+    from pyspark.sql import functions as F
+
+    from linkwise.functions.numbers import TENS, UNITS, words_to_digits
+
+    def spelled(n):
+        if n >= 1000:
+            rest = n % 1000
+            return f"{spelled(n // 1000)} thousand" + (f" {spelled(rest)}" if rest else "")
+        if n >= 100:
+            return f"{UNITS[n // 100]} hundred" + (f" and {spelled(n % 100)}" if n % 100 else "")
+        return UNITS[n] if n < 20 else TENS[n // 10 - 2] + (f"-{UNITS[n % 10]}" if n % 10 else "")
+
+    numbers = [*range(1200), *range(1999, 999_999, 7919)]
+    df = spark.createDataFrame([(n, spelled(n)) for n in numbers], "n long, said string")
+    got = df.select("n", words_to_digits(F.col("said")).alias("got")).where("got <> cast(n as string)").collect()
+    assert not got
+    assert "Python" not in df.select(words_to_digits(F.col("said")))._jdf.queryExecution().toString()
 
 
 def test_number_words_in_address(spark):
