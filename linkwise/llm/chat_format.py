@@ -7,15 +7,16 @@ field paths, selects a declarative mapping (``LAYOUTS``) to canonical turns (rol
 * prompts ``prompt`` with ``completion`` or ``response``, with or without ``system``,
 * instructions ``instruction`` with ``output``, with or without ``input``.
 
-A record with another fingerprint is kept with no turns and ``layout`` null, for the
-caller to see. The training text has, per turn, ``### role: text </turn>`` and a line feed. In
+A record with another fingerprint, or one that its layout cannot read, is kept with no turns and ``layout`` null,
+for the caller to see. Texts may have any length. The training text has, per turn, ``### role: text </turn>`` and a line feed. In
 texts and roles a backslash, ``<`` and ``#`` (in roles also ``:``) are written as
 backslash and a letter, so control strings never occur in them and every text reads
 back exactly. The loss mask lists the code-point ranges of the assistant's texts.
 
 DataFrame functions only. Null roles and texts are empty; a record that is null or no JSON
 object has a null layout; empty message lists give an empty text. Repeated records are formatted
-each for itself. Turns of one record are ordered as its list is.
+each for itself. Turns of one record are ordered as its list is; rows
+of one conversation with the same turn by role, then text.
 """
 
 from __future__ import annotations
@@ -76,14 +77,29 @@ LAYOUTS = (
 LISTS = tuple(dict.fromkeys(x.items[0] for x in LAYOUTS if x.items))
 
 
+#: The JSON reader refuses strings above 20,000,000 characters unless it is told otherwise.
+READER = {"maxStringLen": str(2**31 - 1)}
+UNREAD = "_unread"
+
+
+def _read(record: Column, schema: str) -> Column:
+    """The record by a schema; ``UNREAD`` holds it where it could not be read."""
+    return F.from_json(record, f"{schema}, `{UNREAD}` string", READER | {"columnNameOfCorruptRecord": UNREAD})
+
+
 def fingerprint(record: Column) -> Column:
-    """SHA-256 of the sorted nested field paths of a JSON object."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """SHA-256 of the sorted nested field paths of a JSON object.
+
+    The paths of a list are those of all its elements; an element that is no object adds the path ``list[]``.
+    """
+    none = F.array().cast("array<string>")
+    top = F.coalesce(F.json_object_keys(record), none)
     paths = top
     for name in LISTS:
-        inner = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
-        nested = F.transform(F.coalesce(inner, F.array().cast("array<string>")), _under(name))
-        paths = F.concat(paths, F.when(F.array_contains(top, name), nested).otherwise(F.array().cast("array<string>")))
+        elements = F.coalesce(_read(record, f"`{name}` array<string>")[name], none)
+        keys = F.transform(elements, lambda e: F.coalesce(
+            F.transform(F.json_object_keys(e), _under(name)), F.array(F.lit(f"{name}[]"))))
+        paths = F.concat(paths, F.when(F.array_contains(top, name), F.array_distinct(F.flatten(keys))).otherwise(none))
     return F.sha2(F.array_join(F.array_sort(paths), "\n").cast("binary"), 256)
 
 
@@ -103,7 +119,7 @@ def _canonical_role(role: Column) -> Column:
 
 
 def _mapped(record: Column, layout: Layout) -> Column:
-    parsed = F.from_json(record, layout.schema)
+    parsed = _read(record, layout.schema)
     if layout.items:
         name, role, text = layout.items
         to_role = _canonical_role if role == "from" else (lambda r: r)
@@ -119,7 +135,7 @@ def canonical_turns(records: DataFrame, record_col: str = "record") -> DataFrame
     named = records.withColumn("_fingerprint", fingerprint(record))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
     for x in LAYOUTS:
-        hit = F.col("_fingerprint") == x.fingerprint
+        hit = (F.col("_fingerprint") == x.fingerprint) & _read(record, x.schema)[UNREAD].isNull()
         layout = F.when(hit, x.name).otherwise(layout)
         turns = F.when(hit, _mapped(record, x)).otherwise(turns)
     return named.withColumns({"layout": layout, "turns": turns}).drop("_fingerprint")

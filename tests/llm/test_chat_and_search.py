@@ -61,6 +61,34 @@ def test_fingerprint_ignores_field_order_and_sees_nesting(spark):
     assert got[0] == hashlib.sha256("\n".join(paths).encode()).hexdigest()
 
 
+def test_lists_are_fingerprinted_whole(spark):
+    """A later element with other fields, or that is no object, has no known layout; nothing is dropped silently."""
+    ok = {"role": "user", "content": "a"}
+    got = through(spark, [{"messages": [ok, {"role": "user", "content": "b", "tool": 1}]}, {"messages": [ok, "b"]},
+                          {"messages": ["b"]}, {"messages": [ok, None]}, {"messages": [ok, {"content": "b"}]}, {"messages": "b"},
+                          '{"prompt": "a", "completion": "b"', '{"prompt": "a", "completion": {"x": 1}}'])
+    assert [got[i][:2] for i in range(4)] == [(None, [])] * 4
+    assert got[4][:2] == ("messages", [("user", "a"), ("", "b")])
+    assert got[5][:2] == got[6][:2] == (None, [])
+    assert got[7][:2] == ("prompt", [("user", "a"), ("assistant", '{"x":1}')])
+
+
+def test_texts_above_the_reader_s_limit(spark):
+    """Texts of 20,000,000 characters and more, in every kind of layout, from rows and back."""
+    F = C.F
+    sizes = [20_000_000, 20_000_001, 25_000_000]
+    rows = spark.range(len(sizes), numPartitions=len(sizes)).select(
+        F.col("id").alias("conv_id"), F.array(*[F.lit(n) for n in sizes])[F.col("id").cast("int")].alias("n"))
+    kinds = {"prompt": ["user", "assistant"], "shared": ["system", "user", "assistant", "user"], "messages": ["assistant", "tool"]}
+    for layout, roles in kinds.items():
+        turns = rows.select("conv_id", F.posexplode(F.array(*[F.lit(r) for r in roles])).alias("turn", "role"), "n").withColumn(
+            "text", F.when(F.col("role") == "assistant", F.expr("concat(repeat('ab<d', cast(n / 4 as int)), repeat('z', n % 4))")).otherwise("q"))
+        out = C.formatted(C.canonical_turns(C.records_of(turns)))
+        found = out.select("conv_id", "layout", F.size(C.read_back(F.col("formatted"))).alias("turns"),
+                           F.length(C.loss_text(F.col("formatted"), F.col("loss"))).alias("loss")).orderBy("conv_id").collect()
+        assert [tuple(r) for r in found] == [(i, layout, len(roles), n) for i, n in enumerate(sizes)]
+
+
 def test_conversation_rows_with_nulls(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "x"), (None, 0, None, "y"), (2, 1, "assistant", "b"), (2, 0, "user", "a")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'z' as record")
