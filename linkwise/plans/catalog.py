@@ -128,6 +128,29 @@ def exact_results(spark, d):
     return assign_clusters(rec, prof, clusters, FUZZY_COLS)
 
 
+#: Records with small differences between copies, so that every comparison level and more EM rounds occur.
+VARIED = {
+    "street_address": "CASE unique_id % 30 WHEN 1 THEN concat(street_address, 'x') WHEN 11 THEN concat('z', street_address, 'x') "
+                      "ELSE street_address END",
+    "given_name": "CASE unique_id % 70 WHEN 1 THEN concat(given_name, 'q') WHEN 11 THEN concat(substring(given_name, 1, 2), 'qq') "
+                  "WHEN 21 THEN concat('w', given_name) ELSE given_name END",
+    "postal_code": "CASE unique_id % 30 WHEN 1 THEN concat(substring(postal_code, 1, 3), '99') WHEN 21 THEN "
+                   "concat(substring(postal_code, 1, 1), '0000') ELSE postal_code END",
+    "phone": "CASE WHEN unique_id % 40 = 1 THEN concat(substring(phone, 1, 5), '77777') ELSE phone END",
+}
+
+
+def varied(spark, d) -> DataFrame:
+    return prepared(spark, d).withColumns({c: F.expr(x) for c, x in VARIED.items()})
+
+
+def _varied_sql(sql: str) -> str:
+    """The same SQL over the varied records."""
+    plain = O.PREPARED.replace("prepared AS (", "plain AS (", 1)
+    change = ", ".join(f"{x} AS {c}" for c, x in VARIED.items())
+    return sql.replace(O.PREPARED, f"{plain},\nprepared AS (SELECT * REPLACE ({change}) FROM plain)")
+
+
 def _r6(c):
     return F.round(F.col(c), 6).alias(c)
 
@@ -614,10 +637,10 @@ def q_j7_tf_join(spark, d):
         *PAIR_KEYS, _r6("tf_family_name_l"), _r6("tf_family_name_r"))
 
 
-def _gamma_q(comps):
+def _gamma_q(comps, source=prepared):
     def q(spark, d):
         cols = list(dict.fromkeys(c.column for c in comps))
-        g = compare(fuzzy_pairs(spark, d, cols), comps)
+        g = compare(candidate_pairs(profile_table(source(spark, d), FUZZY_COLS), FUZZY, cols), comps)
         return g.select(*PAIR_KEYS, *[F.col(c.gamma).alias(f"g{i}_{c.column}") for i, c in enumerate(comps)])
     return q
 
@@ -728,6 +751,8 @@ BLOCKING = {
     "j12_name": (_gamma_q([GAMMA_COMPS[2]]), _gamma_sql([GAMMA_COMPS[2]])),
     "j13_postcode": (_gamma_q([GAMMA_COMPS[3]]), _gamma_sql([GAMMA_COMPS[3]])),
     "j14_compare": (_gamma_q(GAMMA_COMPS), _gamma_sql(GAMMA_COMPS)),
+    "j14_levels": (_gamma_q(GAMMA_COMPS, varied), _varied_sql(_gamma_sql(GAMMA_COMPS))),
+    "j11_levels": (_gamma_q([JW_COMP], varied), _varied_sql(_gamma_sql([JW_COMP]))),
     "a16_patterns": (q_a16_patterns, _patterns_sql()),
     "a17_u_exact": (q_a17_u_exact, _u_exact_table_sql()),
     "a17_u_sampled": (q_a17_u_sampled, _u_sampled_sql()),
@@ -802,19 +827,24 @@ def q_c5_pipeline(spark, d):
     return r.results.select("unique_id", "cluster_id", "cluster_size")
 
 
-def q_c9_train(spark, d):
-    rec = prepared(spark, d)
-    prof = profile_table(rec, FUZZY_COLS)
-    model = train(rec, prof, FUZZY)
-    return model.parameters(spark).select("column", "kind", "gamma", _r6("m"), _r6("u"))
+def _trained(source):
+    def model(spark, d):
+        rec = source(spark, d)
+        return train(rec, profile_table(rec, FUZZY_COLS), FUZZY)
 
+    def parameters(spark, d):
+        return model(spark, d).parameters(spark).select("column", "kind", "gamma", _r6("m"), _r6("u"))
 
-def q_a18_em(spark, d):
-    rec = prepared(spark, d)
-    prof = profile_table(rec, FUZZY_COLS)
-    model = train(rec, prof, FUZZY)
-    return spark.createDataFrame([(s["rule"], s["iterations"], round(s["lambda"], 6), s["converged"])
-                                  for s in model.sessions], "rule string, iterations int, lambda double, converged boolean")
+    def sessions(spark, d):
+        return spark.createDataFrame([(s["rule"], s["iterations"], round(s["lambda"], 6), s["converged"])
+                                      for s in model(spark, d).sessions],
+                                     "rule string, iterations int, lambda double, converged boolean")
+
+    return parameters, sessions
+
+
+q_c9_train, q_a18_em = _trained(prepared)
+q_c9_varied, q_a18_varied = _trained(varied)
 
 
 RESULTS_SQL = _results_sql()
@@ -934,6 +964,8 @@ SCORING = {
     "c5_pipeline": (q_c5_pipeline, OM.trained_sql(FUZZY, RESULT_SELECT, "results")),
     "c9_train": (q_c9_train, OM.trained_sql(FUZZY, OM.parameters_select(FUZZY))),
     "a18_em": (q_a18_em, OM.trained_sql(FUZZY, OM.sessions_select(FUZZY))),
+    "c9_varied": (q_c9_varied, _varied_sql(OM.trained_sql(FUZZY, OM.parameters_select(FUZZY)))),
+    "a18_varied": (q_a18_varied, _varied_sql(OM.trained_sql(FUZZY, OM.sessions_select(FUZZY)))),
 }
 
 # ---------------------------------------------------------------------------
