@@ -3,6 +3,7 @@
 * u for ``exact`` comparisons has a closed form over value counts
   (sum of C(n_v, 2) over C(n, 2)) and needs no pairs; other comparisons use a
   random pair sample of bounded size (``random_pairs``).
+* The patterns of a session whose comparisons are all exact are counted without pairs (``exact_patterns``).
 * EM runs on agreement-pattern counts, which Spark aggregates. A small table goes to the
   driver; a table of more than ``DRIVER_PATTERNS`` possible rows stays in Spark, where each
   iteration is one aggregate to a single row. Both give the same updates.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from linkwise.operators.blocking import rule_pairs
 from linkwise.operators.compare import compare
+from linkwise.operators.exact_patterns import exact_patterns, possible
 from linkwise.plans.spec import BlockingRule, Comparison, MatchSpec
 from linkwise.session import materialize
 
@@ -293,13 +295,16 @@ def em_session(profiles: DataFrame, rule: str, comparisons: list[Comparison], u:
     included = [c for c in comparisons if c.column not in keys]
     if not included:
         raise NoEstimate("every comparison is a key of the rule")
-    possible = math.prod(c.n_levels + 1 for c in included)
-    patterns = session_patterns(profiles, rule, included, spec)
-    if possible <= DRIVER_PATTERNS:
-        result = expectation_maximisation(patterns.toPandas(), included, u, spec.max_iterations, spec.em_convergence)
+    limits = (spec.max_iterations, spec.em_convergence)
+    plain = BlockingRule(rule)
+    counted = exact_patterns(profiles, plain, included) if possible(plain, included) else None
+    if counted is not None:
+        result = expectation_maximisation(counted, included, u, *limits)
+    elif math.prod(c.n_levels + 1 for c in included) <= DRIVER_PATTERNS:
+        result = expectation_maximisation(session_patterns(profiles, rule, included, spec).toPandas(), included, u, *limits)
     else:
-        result = expectation_maximisation_spark(materialize(patterns, "patterns"), included, u, spec.max_iterations,
-                                                spec.em_convergence)
+        patterns = materialize(session_patterns(profiles, rule, included, spec), "patterns")
+        result = expectation_maximisation_spark(patterns, included, u, *limits)
     if not result.iterations:
         raise NoEstimate("the rule finds no pairs")
     return result, included

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkwise.functions.constants import CSV_NULL_TOKENS
+from linkwise.sources.quoted import quoted_records
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".pq": "parquet"}
 
@@ -52,19 +53,32 @@ CSV_DIALECT = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhit
 SURPLUS = "__surplus"
 
 
+def is_split(spark: SparkSession, path) -> bool:
+    """Whether some file is larger than one split (sizes alone are looked at)."""
+    files = spark.read.format("binaryFile").load(path).agg(F.max("length").alias("n")).collect()[0]["n"] or 0
+    return files > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
 def read_csv(spark: SparkSession, path, multi_line: bool = True, **options) -> DataFrame:
     """Header CSV, all strings, the NA token list -> null.
 
     Quoted fields may hold commas, doubled quotes and line feeds. A row with more
     fields than the header fails the read with the row's first field in the message; missing
-    fields are null. ``multi_line=False`` lets Spark split large files that have no line feed
-    inside fields.
+    fields are null. Files larger than a split are put together from lines by many tasks (``quoted``),
+    smaller ones are read whole. ``multi_line=False`` is for files without line feeds inside fields.
     """
     opts = CSV_DIALECT | {"multiLine": str(multi_line).lower(), "mode": "PERMISSIVE", "inferSchema": "false"}
     opts.update({k: str(v) for k, v in options.items()})
     names = spark.read.options(**opts).csv(path).columns
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])
-    rows = spark.read.options(**opts).schema(schema).csv(path)
+    # other dialects and more splits than can be told apart are read whole, a task a file
+    splits = multi_line and opts["quote"] == opts["escape"] == '"' and is_split(spark, path)
+    records = quoted_records(spark, path) if splits else None
+    if records is None:
+        rows = spark.read.options(**opts).schema(schema).csv(path)
+    else:
+        ddl = ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema)
+        rows = records.select(F.from_csv("text", F.lit(ddl), opts | {"header": "false"}).alias("r")).select("r.*")
     error = F.raise_error(F.concat(F.lit("CSV row has more fields than the header: "),
                                    F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))))
     whole = F.when(F.col(SURPLUS).isNotNull(), error.cast("boolean")).otherwise(F.lit(True))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from linkwise import session
 from linkwise.operators.prepare import with_unique_id
+from linkwise.sources import quoted
 from linkwise.sources.reader import DataLoadError, load, load_multiple
 from linkwise.sources.writer import save
 
@@ -16,6 +17,45 @@ def test_csv_quotes_line_feeds_and_missing_fields(spark, tmp_path):
     assert rows == [("1", 'Ann "Bo" Lee', '5 Main, "B"'), ("2", "two\nlines", " x "), ("3", "c", None), ("4", None, None)]
 
 
+def test_quoted_csv_is_read_by_many_tasks(spark, tmp_path):
+    """Splits inside quoted fields of several lines, records longer than a split, several files: as the whole-file read."""
+    import random
+
+    rng = random.Random(3)
+    parts = ["plain", "two\nlines", 'say ""hi""', "a,b", "", "\n\n", 'x\n""\ny', "long " * 60, "None", " pad ", "é\n日本"]
+    for name, n in (("a", 400), ("b", 3), ("c", 0)):
+        rows = [f'{name}{i},"{rng.choice(parts)}{rng.choice(parts)}",{rng.choice(["z", "", "q q"])}' for i in range(n)]
+        rows += [f'{name}-huge,"{"many lines" + chr(10) * 3000}",z', f"{name}-short", ""]
+        (tmp_path / "q.csv").mkdir(exist_ok=True)
+        (tmp_path / "q.csv" / f"{name}.csv").write_text("\n".join(["id,text,more", *rows]) + ("\n" if name == "a" else ""))
+    path = str(tmp_path / "q.csv")
+    whole = sorted(map(tuple, load(spark, path).collect()), key=str)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("100", "777", "5000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = load(spark, path)
+            assert df.columns == ["id", "text", "more"] and "MapInArrow" in df._jdf.queryExecution().toString()
+            assert quoted.lines(spark, path).select(F.spark_partition_id()).distinct().count() > 4
+            assert sorted(map(tuple, df.collect()), key=str) == whole
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(whole) == 400 + 3 + 2 * 3
+    assert "MapInArrow" not in load(spark, path)._jdf.queryExecution().toString()
+
+
+def test_surplus_fields_in_a_split_file_are_an_error(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("id,name\n" + "".join(f'{i},"a\nb"\n' for i in range(100)) + "x,b,EXTRA\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        with pytest.raises(Exception, match="more fields than the header: x"):
+            load(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv_surplus_fields_are_an_error(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text("id,name\n1,a\n2,b,EXTRA\n")
