@@ -22,7 +22,7 @@ from linkwise.operators.score import score, with_term_frequencies
 from linkwise.operators.stats import cluster_statistics, clusters_by_size
 from linkwise.operators.train import Model, train
 from linkwise.plans.spec import MatchSpec
-from linkwise.session import materialize
+from linkwise.session import materialize, temporary_tables
 from linkwise.sources.reader import load
 
 
@@ -89,26 +89,39 @@ def deduplicate(records: DataFrame, profiles: DataFrame, profile_columns: list[s
     ``scored`` holds the pairs that can reach the threshold; ``score_pairs`` without one gives all.
     """
     t = spec.match_threshold if threshold is None else threshold
-    scored = score_pairs(records, profiles, spec, model, t)
-    if persist:
-        scored = materialize(scored, "scored")
-    clusters = profile_clusters(scored, t)
-    results = assign_clusters(records, profiles, clusters, profile_columns)
-    if persist:
+
+    def steps(done) -> tuple[DataFrame, DataFrame]:
+        scored = done(score_pairs(records, profiles, spec, model, t), "scored")
+        clusters = profile_clusters(scored, t)
         # statistics and reports then read one table instead of repeating the joins
-        results = materialize(results, "results")
+        return scored, done(assign_clusters(records, profiles, clusters, profile_columns), "results")
+
+    if persist:
+        with temporary_tables(records.sparkSession) as keep:
+            scored, results = steps(lambda df, name: keep(materialize(df, name)))
+    else:
+        scored, results = steps(lambda df, name: df)
     return DedupResult(results, cluster_statistics(results), clusters_by_size(results), scored, model, profiles)
 
 
 def run_deduplication(raw: DataFrame, spec: MatchSpec, id_column: str | None = None,
                       threshold: float | None = None, persist: bool = True) -> DedupResult:
     """Full pipeline on a raw DataFrame."""
-    prep = prepare_data(raw, id_column, persist=persist)
-    profiles, cols = build_profiles(prep.records, spec, persist)
-    model = train(prep.records, profiles, spec)
-    result = deduplicate(prep.records, profiles, cols, spec, model, threshold, persist)
-    _, absent = available_comparisons(spec.comparisons, prep.records.columns)
-    result.warnings = absent + list(model.skipped)
+    def steps() -> DedupResult:
+        prep = prepare_data(raw, id_column, persist=persist)
+        profiles, cols = build_profiles(prep.records, spec, persist)
+        model = train(prep.records, profiles, spec)
+        result = deduplicate(prep.records, profiles, cols, spec, model, threshold, persist)
+        _, absent = available_comparisons(spec.comparisons, prep.records.columns)
+        result.warnings = absent + list(model.skipped)
+        return result
+
+    if not persist:
+        return steps()
+    with temporary_tables(raw.sparkSession) as keep:
+        result = steps()
+        for frame in (result.results, result.scored, result.profiles):
+            keep(frame)
     return result
 
 

@@ -10,7 +10,9 @@ nobody else can read.
 from __future__ import annotations
 
 import os
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,7 +82,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(CLEANUP_CONF, before)
-    return spark.read.schema(df.schema).parquet(path)
+    _note(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+_scopes = threading.local()
+
+
+def _note(path: str) -> None:
+    """The innermost scope of this thread answers for the table."""
+    made = getattr(_scopes, "made", None)
+    if made:
+        made[-1].append(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables that ``materialize`` writes inside the block are removed at its end, also after an error.
+
+    Yields ``keep``, which takes a materialized frame out of it (an outer block then answers for it).
+    """
+    if not hasattr(_scopes, "made"):
+        _scopes.made = []
+    mine: list[str] = []
+    _scopes.made.append(mine)
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.written_to)
+        return df
+
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _scopes.made.remove(mine)
+        for path in mine:
+            if path in kept:
+                _note(path)
+            else:
+                drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
