@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from linkwise.llm import catalog, decontaminate, pii, simhash, toxicity
 from linkwise.llm.common import table
-from linkwise.session import materialize
+from linkwise.session import drop_path, materialize, temporary_tables
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +69,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on its way goes when its result is written, and that when the next one's is."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, "pipeline-" + name.replace(" ", "-"))
-    return docs
+    with temporary_tables(spark) as keep:
+        before = None
+        for name, stage in STAGES[:-1]:
+            with temporary_tables(spark) as keep_stage:
+                docs = keep_stage(materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-")))
+            if before:
+                drop_path(spark, before)
+            before = docs.written_to
+        keep(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
