@@ -42,7 +42,7 @@ TOP = 2000
 #: At most 256: a key keeps its shard in a byte.
 SHARDS = 4
 #: Bytes of text that a task works on at once.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 #: Bytes of text for each bucket in which counts are added up.
 BUCKET = 16_000_000
 BITS = 27
