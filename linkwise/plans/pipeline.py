@@ -113,7 +113,7 @@ def run_deduplication(raw: DataFrame, spec: MatchSpec, id_column: str | None = N
         model = train(prep.records, profiles, spec)
         result = deduplicate(prep.records, profiles, cols, spec, model, threshold, persist)
         _, absent = available_comparisons(spec.comparisons, prep.records.columns)
-        result.warnings = absent + list(model.skipped)
+        result.warnings = [*spec.warnings, *absent, *model.skipped]
         return result
 
     if not persist:

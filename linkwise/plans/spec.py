@@ -111,6 +111,19 @@ class Comparison:
         return any(m == "jaro_winkler" for m, _ in self.similarity_levels())
 
 
+def comparisons_from(settings: list[dict]) -> tuple[tuple[Comparison, ...], tuple[str, ...]]:
+    """(comparisons, warnings) from rows of ``Comparison``'s fields; a row of an unknown kind is left out with a
+    warning instead of failing the whole configuration."""
+    out, warnings = [], []
+    for row in settings:
+        kind = str(row.get("kind", "")).strip().lower()
+        if kind in COMPARISON_KINDS:
+            out.append(Comparison(**row))
+        else:
+            warnings.append(f"Unknown comparison type: {row.get('kind')} ({row.get('column')})")
+    return tuple(out), tuple(warnings)
+
+
 @dataclass(frozen=True)
 class MatchSpec:
     blocking_rules: tuple[BlockingRule, ...]
@@ -125,6 +138,8 @@ class MatchSpec:
     # profiles per blocking key above which a block is split into salted parts
     salt_block_size: int = 50_000
     training_rules: tuple[str, ...] = field(default_factory=tuple)
+    # what was left out when the spec was built; passed on with the result
+    warnings: tuple[str, ...] = field(default_factory=tuple)
 
     def __post_init__(self):
         if not self.blocking_rules:
