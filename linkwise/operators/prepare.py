@@ -101,6 +101,15 @@ def to_model(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows, whose expressions later filters and projections read as values.
+
+    A filter on the error list is otherwise pushed below the projections that ``df`` consists of, and every
+    rule then holds its own copy of the expressions behind its fields. Generated columns are not looked through.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def validate_rows(df: DataFrame) -> DataFrame:
     """Model fields plus ``errors array<string>`` (empty = valid row).
 
@@ -110,16 +119,16 @@ def validate_rows(df: DataFrame) -> DataFrame:
     """
     model = model_columns(df)
     keep = [F.col(c) for c in ("unique_id",) if c in df.columns]
-    projected = df.select(*keep, *[
+    projected = computed_once(df.select(*keep, *[
         (c if c is not None else F.lit(None).cast("string")).alias(f) for f, c in model.items()
-    ])
+    ]))
     present = {f: (None if c is None else F.col(f)) for f, c in model.items()}
     checked = projected.withColumn("errors", V.row_errors(present))
     # enum defaults apply only when the column is absent
-    return checked.withColumns({
+    return computed_once(checked.withColumns({
         field: V.enum_value(None if model[field] is None else F.col(field), default)
         for field, (_allowed, default) in V.ENUMS.items()
-    })
+    }))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
