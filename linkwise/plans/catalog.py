@@ -51,7 +51,7 @@ from linkwise.plans import oracle as O
 from linkwise.plans import oracle_model as OM
 from linkwise.plans.pipeline import prepare_data, run_deduplication, run_file, score_pairs
 from linkwise.plans.spec import Comparison, MatchSpec, preset_strict, spec_fuzzy
-from linkwise.session import work_path
+from linkwise.session import materialize, work_path
 from linkwise.sources.fixture import odd_records, provider_records
 from linkwise.sources.reader import load, load_multiple
 from linkwise.sources.writer import save, save_report
@@ -119,11 +119,17 @@ def scored_exact(spark, d):
     return score(compare(pairs, EXACT_COMPS), exact_model(rec))
 
 
-def exact_results(spark, d):
+def linked_exact(spark, d):
+    """(records, profiles, scored pairs that can reach the threshold), the pairs written once for the steps that read them."""
     rec = prepared(spark, d)
     prof = profile_table(rec, FUZZY_COLS)
-    pairs = candidate_pairs(prof, FUZZY, [c.column for c in EXACT_COMPS])
-    scored = score(compare(pairs, EXACT_COMPS), exact_model(rec))
+    model = exact_model(rec)
+    pairs = reachable_pairs(prof, FUZZY, model, SCORE_THRESHOLD, [c.column for c in EXACT_COMPS])
+    return rec, prof, materialize(score(compare(pairs, EXACT_COMPS), model), "scored")
+
+
+def exact_results(spark, d):
+    rec, prof, scored = linked_exact(spark, d)
     clusters = profile_clusters(scored, SCORE_THRESHOLD)
     return assign_clusters(rec, prof, clusters, FUZZY_COLS)
 
@@ -782,17 +788,17 @@ def q_c3_tf_adjust(spark, d):
 
 
 def q_p17_threshold(spark, d):
-    s = scored_exact(spark, d)
+    s = linked_exact(spark, d)[2]
     return s.where(F.col("match_probability") >= SCORE_THRESHOLD).select("rep_id_l", "rep_id_r")
 
 
 def q_c2_clusters(spark, d):
-    c = profile_clusters(scored_exact(spark, d), SCORE_THRESHOLD)
+    c = profile_clusters(linked_exact(spark, d)[2], SCORE_THRESHOLD)
     return c.select("rep_id", "cluster_rep", _r6("cluster_match_probability"))
 
 
 def q_c2_components(spark, d):
-    s = scored_exact(spark, d).where(F.col("match_probability") >= SCORE_THRESHOLD)
+    s = linked_exact(spark, d)[2].where(F.col("match_probability") >= SCORE_THRESHOLD)
     e = s.where(F.col("rep_id_l") != F.col("rep_id_r")).select(F.col("rep_id_l").alias("src"),
                                                               F.col("rep_id_r").alias("dst"))
     return connected_components(e)
