@@ -128,3 +128,10 @@ def test_levels_with_bound_and_equal_values(spark):
     got = {r.id: (r.gamma_x, r.gamma_y) for r in compare(pairs, comps).collect()}
     assert got == {r[0]: (level(comps[0], r[1], r[2]), level(comps[1], r[3], r[4])) for r in rows}
 
+
+
+def test_short_values_go_by_words(monkeypatch):
+    values = random_values(80, 9) + ["", "A" * 63, "A" * 62 + "B", "BA" * 31, "😀é", "é😀"]
+    l, r = (x.ravel() for x in np.meshgrid(np.arange(len(values)), np.arange(len(values))))
+    monkeypatch.setattr(S, "jaro_winkler_matrix", None)
+    assert S.jaro_winkler_pairs(values, values, l, r).tolist() == [plain(values[i], values[j]) for i, j in zip(l, r)]
