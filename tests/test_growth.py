@@ -30,3 +30,20 @@ def test_clusters_come_from_the_pairs_that_can_reach_the_threshold(spark, tmp_pa
     assert sorted(every.where(link).select(*columns).collect()) == sorted(found.where(link).select(*columns).collect())
     assert found.count() * 5 < every.count()
     assert profile_clusters(found, catalog.SCORE_THRESHOLD).count() == profile_clusters(every, catalog.SCORE_THRESHOLD).count() > 700
+
+
+def test_tasks_of_a_join_follow_its_pairs(spark, monkeypatch):
+    from linkwise.operators import blocking as B
+
+    rows = [(i, 1 + i % 2, "a" if i < 300 else f"b{i % 9}", "" if i % 3 else "1234567890") for i in range(600)]
+    profiles = spark.createDataFrame([*rows, (600, 1, None, "1234567890")], "rep_id bigint, n bigint, x string, phone string")
+    rule = "l.x = r.x AND length(l.phone) >= 10"
+    plain = B.rule_pairs(profiles, rule, ["phone"])
+    monkeypatch.setattr(B, "PAIRS_PER_SALT", 500)
+    monkeypatch.setattr(B, "PAIRS_PER_TASK", 200)
+    hot, n_hot, pairs = B.block_work(profiles, B.BlockingRule(rule), ["x"], 50_000)
+    assert n_hot == 10 - 9 + sum(r["_ns"] > 1 for r in hot.where("x <> 'a'").collect()) and pairs == (100 * 300 + sum(
+        len([1 for y in rows if y[2] == f"b{k}"]) * len([1 for y in rows if y[2] == f"b{k}" and y[3]]) for k in range(9))) / 2
+    split = B.rule_pairs(profiles, rule, ["phone"])
+    assert sorted(split.collect()) == sorted(plain.collect())
+    assert split.rdd.getNumPartitions() == -(-int(pairs) // 200)
