@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 # FIXED VALUES: Winkler prefix scale, longest prefix counted, boost threshold
 PREFIX_SCALE = 0.1
@@ -227,6 +227,31 @@ def jaro_winkler_similarity(left: Column, right: Column) -> Column:
     return jaro_winkler_udf(left, right)
 
 
+#: Bits of a value's marks for characters in it, and for those in it twice.
+ONCE, TWICE = 39, 25
+
+
+def character_marks(values: list[str]) -> np.ndarray:
+    """A word per value: a bit for each character in it, another for each one in it twice (characters may share a bit).
+
+    A replaced character changes two bits at most, one put in or left out a single one.
+    """
+    flat, starts = code_points(values)
+    rows = np.repeat(np.arange(len(values)), np.diff(starts))
+    order = np.lexsort((flat, rows))
+    rows, chars = rows[order], flat[order].astype(np.int64)
+    again = np.zeros(len(rows), bool)
+    again[1:] = (rows[1:] == rows[:-1]) & (chars[1:] == chars[:-1])
+    out = np.zeros(len(values), np.int64)
+    np.bitwise_or.at(out, rows, np.left_shift(1, np.where(again, ONCE + chars % TWICE, chars % ONCE)))
+    return out
+
+
+@arrow_udf(LongType())
+def character_marks_udf(values: pa.Array) -> pa.Array:
+    return pa.array(character_marks(values.fill_null("").to_pylist()), pa.int64())
+
+
 def levenshtein_distance(left: Column, right: Column, max_distance: int | None = None) -> Column:
     """Edit distance; with ``max_distance`` values above it come back as -1."""
     if max_distance is None:

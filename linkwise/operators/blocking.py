@@ -147,12 +147,15 @@ def rule_pairs(profiles: DataFrame, rule: BlockingRule | str, columns: list[str]
     return joined.select(*cols)
 
 
-def candidate_pairs(profiles: DataFrame, spec: MatchSpec, columns: list[str] | None = None) -> DataFrame:
+def candidate_pairs(profiles: DataFrame, spec: MatchSpec, columns: list[str] | None = None,
+                    positions: list[int] | None = None) -> DataFrame:
     """All rules of ``spec``; a pair is kept once, under the first rule that
-    finds it (``match_key`` = rule position)."""
+    finds it (``match_key`` = rule position). With ``positions`` the pairs of these rules alone."""
     columns = columns if columns is not None else spec.compared_columns()
     parts = []
     for k, rule in enumerate(spec.blocking_rules):
+        if positions is not None and k not in positions:
+            continue
         parts.append(rule_pairs(profiles, rule, columns, spec.blocking_rules[:k], k, spec.salt_block_size))
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -27,6 +27,7 @@ from linkwise.operators.cluster import (
     with_primary,
 )
 from linkwise.operators.compare import compare
+from linkwise.operators.near_patterns import candidate_patterns
 from linkwise.operators.prepare import (
     batch_check,
     model_columns,
@@ -663,11 +664,8 @@ def _pairs_only_sql(rules_sql: str) -> str:
 
 def q_a16_patterns(spark, d):
     comps = GAMMA_COMPS
-    cols = list(dict.fromkeys(c.column for c in comps))
-    g = compare(fuzzy_pairs(spark, d, cols), comps)
-    g = g.select("pair_count", *[F.col(c.gamma).alias(f"g{i}_{c.column}") for i, c in enumerate(comps)])
-    keys = [f"g{i}_{c.column}" for i, c in enumerate(comps)]
-    return g.groupBy(*keys).agg(F.sum("pair_count").alias("pair_count"))
+    found = candidate_patterns(materialize(fuzzy_profiles(spark, d), "profiles"), FUZZY, comps)
+    return found.select(*[F.col(c.gamma).alias(f"g{i}_{c.column}") for i, c in enumerate(comps)], "pair_count")
 
 
 def q_a17_u_exact(spark, d):
