@@ -135,3 +135,32 @@ def test_short_values_go_by_words(monkeypatch):
     l, r = (x.ravel() for x in np.meshgrid(np.arange(len(values)), np.arange(len(values))))
     monkeypatch.setattr(S, "jaro_winkler_matrix", None)
     assert S.jaro_winkler_pairs(values, values, l, r).tolist() == [plain(values[i], values[j]) for i, j in zip(l, r)]
+
+
+def test_candidates_compare_as_their_pairs_do(spark):
+    """Numbers worked out once a value, and no comparison of a rule's key columns, give the levels of the plain way."""
+    import random
+
+    from linkwise.operators.blocking import candidate_pairs, profile_table
+    from linkwise.operators.compare import compare, compare_candidates
+    from linkwise.plans.spec import BlockingRule, Comparison, MatchSpec
+
+    rng = random.Random(7)
+    streets = ["12 oak road", "12 oak rd", "112 oak road", "12 ook raod", "21 élm 𝒳 lane", "21 élm 𝒴 lane", "21 elm lane", "7", "", None]
+    zips = ["12345", "12399", "12", "12é45", "12é99", "1", "é", "22222", "", None]
+    rows = [(i, rng.choice(["ann", "anna", "bob", "bobby", "dwayne", "duane", "", None]), rng.choice(["a", "b", None]), rng.choice(streets), rng.choice(zips),
+             rng.choice(["p", "q", "", None])) for i in range(400)]
+    columns = ["name", "family", "street", "zip", "phone"]
+    prof = profile_table(spark.createDataFrame(rows, "unique_id long, " + ", ".join(f"{c} string" for c in columns)), columns)
+    rules = (BlockingRule("l.phone = r.phone"), BlockingRule("l.family = r.family AND l.name = r.name"), BlockingRule("l.family = r.family"))
+    for blank in (False, True):
+        comps = [Comparison("name", "name", blank_as_null=blank), Comparison("street", "levenshtein", (1, 3), blank_as_null=blank),
+                 Comparison("zip", "postcode", blank_as_null=blank), Comparison("phone", "exact", blank_as_null=blank)]
+        spec = MatchSpec(rules, tuple(comps))
+        names = ["rep_id_l", "rep_id_r", "pair_count", "match_key", *[c.gamma for c in comps]]
+        plain = compare(candidate_pairs(prof, spec, columns), comps)
+        found = compare_candidates(prof, spec, comps)
+        assert found.columns == names
+        assert sorted(found.collect()) == sorted(plain.select(*names).collect())
+        for c in comps:
+            assert {r[0] for r in found.select(c.gamma).distinct().collect()} == set(range(-1, c.n_levels))
