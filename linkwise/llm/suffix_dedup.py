@@ -5,8 +5,9 @@
   none). 29 bytes around the anchor, whichever side lies in the window, are its
   context; contexts that occur in another document too are revealed.
 * Shards (second shuffle): the stretches of text around revealed anchors go to the shard of their
-  anchor's gram, so equal windows meet in one shard. Equal stretches of one batch are sent
-  for the smallest document id alone.
+  anchor's gram, so equal windows meet in one shard. Grams that slices spread evenly over the corpus show to
+  fill much of a shard are dealt by the anchor's context key instead, their stretches cut where the side
+  changes. Equal stretches of one portion of texts are sent for the smallest document id alone, their bytes once a document.
 * Induced sorting (Nong, Zhang and Chan 2009) of each shard's distinct stretches: suffixes are classified
   as larger or smaller than their successor, leftmost-smaller substrings are sorted by inducing and
   named, the string of names is sorted (by rank doubling, as deep as 50 bytes reach), and the sorted
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from linkwise.llm import windows as X
 from linkwise.llm.common import map_rows, text_bytes
@@ -37,9 +39,15 @@ from linkwise.session import materialize
 WIDTH = 50
 GRAM = 8
 #: Characters of text per bucket of the two shuffles.
-REVEAL_CHARS = 24_000_000
-SHARD_CHARS = 4_000_000
+REVEAL_CHARS = 16_000_000
+SHARD_CHARS = 2_000_000
 LEAST_BUCKETS = 16
+#: Bytes of stretches from which a gram is dealt by context.
+GRAM_BYTES = 4_000_000
+#: Bytes of stretches that are sorted at once; a gram's stretches stay together.
+SORT_BYTES = 2_000_000
+#: Slices of the corpus, and their characters, whose grams tell how to deal the shards.
+SLICES, SLICE = 8192, 4096
 SENTINEL, SEPARATOR, SHIFT = 0, 1, 2
 ALPHABET = 256 + SHIFT
 
@@ -204,11 +212,25 @@ def sorted_repeats(bodies: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np
     return own[hit], local[hit]
 
 
+def sorting_chunks(chosen: np.ndarray, gram: list[bytes], distinct: list[bytes]):
+    """The chosen stretches in chunks of about ``SORT_BYTES``, those of a gram in one."""
+    number: dict[bytes, int] = {}
+    names = np.fromiter((number.setdefault(gram[j], len(number)) for j in chosen.tolist()), np.int64, len(chosen))
+    order = np.argsort(names, kind="stable")
+    chosen, names = chosen[order], names[order]
+    ends = np.cumsum(np.fromiter((len(distinct[j]) + 1 for j in chosen.tolist()), np.int64, len(chosen)))
+    opens = X.first_of_runs(names)
+    last = np.append(opens[1:], len(names)) - 1
+    cuts = opens[X.first_of_runs((ends[last] - 1) // SORT_BYTES)]
+    yield from np.split(chosen, cuts[1:])
+
+
 def shard_repeats(parts: list[bytes], anchors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(stretch, window) of the windows that a smaller id holds too; ``anchors``: their place in the stretch.
 
     Equal stretches are sorted once, for their smallest id. Equal windows have the same gram at
-    their anchor, so a stretch whose gram no other distinct stretch has needs no sorting.
+    their anchor, so a stretch whose gram no other distinct stretch has needs no sorting, and grams are sorted
+    in chunks.
     """
     number: dict[bytes, int] = {}
     which = np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts))
@@ -226,18 +248,53 @@ def shard_repeats(parts: list[bytes], anchors: np.ndarray, ids: np.ndarray) -> t
     count = np.fromiter((len(parts[j]) - WIDTH + 1 for j in away.tolist()), np.int64, len(away))
     found = [(np.repeat(away, count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))]
     if len(chosen):
-        at, window = sorted_repeats([distinct[j] for j in chosen.tolist()], least[chosen])
         owners = np.flatnonzero(lead)
         owners = owners[np.argsort(which[owners], kind="stable")]
-        low = np.searchsorted(which[owners], chosen[at], "left")
-        many = np.searchsorted(which[owners], chosen[at], "right") - low
-        inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        found.append((owners[np.repeat(low, many) + inside], np.repeat(window, many)))
+        for some in sorting_chunks(chosen, gram, distinct):
+            at, window = sorted_repeats([distinct[j] for j in some.tolist()], least[some])
+            low = np.searchsorted(which[owners], some[at], "left")
+            many = np.searchsorted(which[owners], some[at], "right") - low
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            found.append((owners[np.repeat(low, many) + inside], np.repeat(window, many)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
-    """(id, version, places): runs of starts of windows that a smaller document id holds too."""
+def frequent_grams(texts: DataFrame, finder: Anchors, size: int) -> np.ndarray:
+    """Anchor grams whose stretches would hold more than about ``GRAM_BYTES`` bytes, ascending.
+
+    Counted on slices that lie evenly over all texts. They decide to which shards stretches go, not what is found.
+    """
+    step = size // SLICES
+    if step <= SLICE:
+        return np.zeros(0, np.uint64)
+    first, chars = F.pmod(F.xxhash64("id", "version"), F.lit(step)) + 1, F.length("text").cast("long")
+    places = F.when(first <= chars, F.sequence(first, chars, F.lit(step).cast("long")))
+    slices = texts.select("text", F.explode(places).alias("at")).select(
+        F.substr("text", F.col("at").cast("int"), F.lit(SLICE)).alias("text"))
+
+    def counted(batch: pa.RecordBatch):
+        found = []
+        for text in batch.column("text").to_pylist():
+            units = finder.units(text)
+            place = X.codes_of(finder, units) >> 1
+            opens = X.first_of_runs(place)
+            sizes = np.diff(np.append(opens, len(place))) + WIDTH - 1
+            found.append((grams(units)[place[opens]], sizes))
+        gram, sizes = map(np.concatenate, zip(*found))
+        gram, which = np.unique(gram, return_inverse=True)
+        held = np.bincount(which, sizes, len(gram)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(held)], ["gram", "held"])
+
+    held = map_rows(slices, X.in_portions(counted), "gram long, held long").groupBy("gram").agg(F.sum("held").alias("held"))
+    often = held.where(F.col("held") * F.lit(step / SLICE) > F.lit(float(GRAM_BYTES))).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in often], np.int64).view(np.uint64))
+
+
+def verified(texts: DataFrame, finder: Anchors, shards: int, frequent: np.ndarray) -> DataFrame:
+    """(id, version, places): runs of starts of windows that a smaller document id holds too.
+
+    Stretches at ``frequent`` grams are dealt to the shards by their anchors' context keys.
+    """
 
     def stretches(batch: pa.RecordBatch):
         ids, versions = batch.column("id").to_numpy(), batch.column("version").to_numpy()
@@ -248,29 +305,40 @@ def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
             if not len(at):
                 continue
             place = codes >> 1
-            opens = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1))))
+            gram = grams(units)[place]
+            hot = np.isin(gram, frequent)
+            other = (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1) | hot[1:] & (codes[1:] != codes[:-1])
+            opens = np.flatnonzero(np.concatenate(([True], other)))
             last = at[np.append(opens[1:], len(at)) - 1] + WIDTH
             raw = units.tobytes()
             docs.append(np.full(len(opens), i))
             starts.append(at[opens])
-            grams_at.append(X.mix(grams(units)[place[opens]]))
+            dealt = X.mix(gram[opens])
+            hot = np.flatnonzero(hot[opens])
+            if len(hot):
+                dealt[hot] = finder.keys(units, codes[opens[hot]])
+            grams_at.append(dealt)
             anchors.append(place[opens] - at[opens])
             parts += [raw[a:b] for a, b in zip(at[opens].tolist(), last.tolist())]
         if not docs:
             return
         docs, starts, grams_at, anchors = map(np.concatenate, (docs, starts, grams_at, anchors))
-        least: dict[bytes, int] = {}
-        owner = ids[docs].tolist()
-        for part, key in zip(parts, owner):
-            if key < least.get(part, key + 1):
-                least[part] = key
-        lead = np.fromiter((least[p] == key for p, key in zip(parts, owner)), bool, len(parts))
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts))
+        least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[docs])
+        lead = ids[docs] == least[which]
         sizes = np.fromiter(map(len, parts), np.uint16, len(parts))
         packer = X.Packer(ids, versions)
         kept = np.flatnonzero(lead)
-        rows = list(packer.rows((grams_at[kept] % np.uint64(shards)).astype(np.int32), docs[kept], starts[kept],
-                                k2=sizes[kept] | (anchors[kept].astype(np.uint16) << 8), body=lambda mine: b"".join([parts[j] for j in kept[mine].tolist()])))
-        # stretches that a smaller id of the same batch holds too need only the way back
+        kept = kept[np.lexsort((which[kept], docs[kept]))]
+        again = np.zeros(len(kept), bool)
+        again[1:] = (which[kept[1:]] == which[kept[:-1]]) & (docs[kept[1:]] == docs[kept[:-1]])
+        # shape 0: the bytes of the stretch before
+        shapes = np.where(again, np.uint16(0), sizes[kept] | (anchors[kept].astype(np.uint16) << np.uint16(8)))
+        rows = list(packer.rows((grams_at[kept] % np.uint64(shards)).astype(np.int32), docs[kept], starts[kept], k2=shapes,
+                                body=lambda mine: b"".join([parts[j] for j in kept[mine[~again[mine]]].tolist()])))
+        # stretches that a smaller id of the same portion holds too need only the way back
         away = np.flatnonzero(~lead)
         count = sizes[away].astype(np.int64) - WIDTH + 1
         inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -283,13 +351,17 @@ def verified(texts: DataFrame, finder: Anchors, shards: int) -> DataFrame:
         ids, versions, starts, _, shape = X.unpacked(own, np.uint16)
         at, places = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(ids):
-            ends = np.cumsum(shape & 255, dtype=np.int64).tolist()
+            new = shape > 0
+            ends = np.cumsum(shape[new] & 255, dtype=np.int64).tolist()
             raw = b"".join(own["body"].to_pylist())
-            at, window = shard_repeats([raw[a:b] for a, b in zip([0, *ends], ends)], shape >> 8, ids)
+            bodies = [raw[a:b] for a, b in zip([0, *ends], ends)]
+            del raw
+            of = np.cumsum(new) - 1
+            at, window = shard_repeats([bodies[j] for j in of.tolist()], (shape[new] >> 8)[of], ids)
             places = starts[at].astype(np.int64) + window
         return X.runs_home(*[np.concatenate([a, b]) for a, b in zip((ids[at], versions[at], places), back)], shards)
 
-    return X.gathered(map_rows(texts, stretches, X.PACKED).groupBy("bucket").applyInArrow(sorted_shard, X.PACKED))
+    return X.gathered(map_rows(texts, X.in_portions(stretches), X.PACKED).groupBy("bucket").applyInArrow(sorted_shard, X.PACKED))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,7 +369,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     finder, texts, size = Anchors(), X.versioned(docs, id_col, text_col), text_bytes(docs, text_col)
     buckets, shards = max(LEAST_BUCKETS, -(-size // REVEAL_CHARS)), max(LEAST_BUCKETS, -(-size // SHARD_CHARS))
     found = materialize(X.revealed(texts, finder, buckets, across=True), "suffix-revealed")
-    runs = materialize(verified(X.with_places(texts, found, "inner"), finder, shards), "suffix-runs")
+    frequent = frequent_grams(texts, finder, size)
+    runs = materialize(verified(X.with_places(texts, found, "inner"), finder, shards, frequent), "suffix-runs")
     return runs
 
 
@@ -328,4 +401,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes
-    return map_rows(X.with_places(X.versioned(docs, id_col, text_col), runs, "left"), finish, schema)
+    return map_rows(X.with_places(X.versioned(docs, id_col, text_col), runs, "left"), X.in_portions(finish), schema)

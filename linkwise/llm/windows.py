@@ -18,9 +18,11 @@ What a task holds is bounded by the number of buckets, which grows with the corp
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from linkwise.llm.common import id_text, map_rows
 
 #: Units that are worked on at once; longer texts go through in overlapping stretches.
 STRETCH = 1 << 20
+#: Bytes of text whose keys or windows a task holds at once; a longer text goes alone.
+PORTION = 8_000_000
 PACKED = ("bucket int, ids binary, versions binary, counts binary, codes binary, k1 binary, k2 binary, body binary, "
           "gone boolean")
 NAMES = [c.split()[0] for c in PACKED.split(", ")]
@@ -83,6 +87,19 @@ def versioned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return id_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("version"), "text")
 
 
+def portions(batch: pa.RecordBatch):
+    """The batch in slices of about ``PORTION`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+    starts = first_of_runs((ends - 1) // PORTION)
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ends)]):
+        yield batch.slice(a, b - a)
+
+
+def in_portions(fn):
+    """``fn`` on the portions of a batch."""
+    return lambda batch: chain.from_iterable(map(fn, portions(batch)))
+
+
 class Packer:
     """Rows of many documents of one batch, packed by bucket."""
 
@@ -117,17 +134,28 @@ def packed_batch(rows) -> pa.RecordBatch | None:
 
 
 def unpacked(table: pa.Table, dtype2=None):
-    """(id, version, code, k1, k2) arrays over all rows of a bucket."""
-    parts = ([], [], [], [], [])
-    for r in table.to_pylist():
-        counts = np.frombuffer(r["counts"], np.uint32)
-        parts[0].append(np.repeat(np.frombuffer(r["ids"], np.int64), counts))
-        parts[1].append(np.repeat(np.frombuffer(r["versions"], np.int64), counts))
-        parts[2].append(np.cumsum(np.frombuffer(r["codes"], np.uint32), dtype=np.uint32))
-        parts[3].append(np.frombuffer(r["k1"] or b"", np.uint64))
-        parts[4].append(np.frombuffer(r["k2"] or b"", dtype2 or np.uint64))
-    empty = (np.int64, np.int64, np.uint32, np.uint64, dtype2 or np.uint64)
-    return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, empty)]
+    """(id, version, code, k1, k2) arrays over all rows of a bucket, filled row by row from the table's own memory."""
+    def held(name, dtype):
+        return int(pc.sum(pc.binary_length(table[name])).as_py() or 0) // np.dtype(dtype).itemsize
+
+    dtypes = (np.int64, np.int64, np.uint32, np.uint64, dtype2 or np.uint64)
+    names = ("codes", "codes", "codes", "k1", "k2")
+    out = [np.empty(held(name, np.uint32 if name == "codes" else t), t) for name, t in zip(names, dtypes)]
+    at = [0] * len(out)
+
+    def put(k, values):
+        out[k][at[k]:at[k] + len(values)] = values
+        at[k] += len(values)
+
+    for row in zip(*[table[c] for c in ("ids", "versions", "counts", "codes", "k1", "k2")]):
+        ids, versions, counts, codes, k1, k2 = [x.as_buffer() or b"" for x in row]
+        counts = np.frombuffer(counts, np.uint32)
+        put(0, np.repeat(np.frombuffer(ids, np.int64), counts))
+        put(1, np.repeat(np.frombuffer(versions, np.int64), counts))
+        put(2, np.cumsum(np.frombuffer(codes, np.uint32), dtype=np.uint32))
+        put(3, np.frombuffer(k1, dtypes[3]))
+        put(4, np.frombuffer(k2, dtypes[4]))
+    return out
 
 
 def sent_home(ids: np.ndarray, versions: np.ndarray, values: np.ndarray, homes: int) -> pa.Table:
@@ -199,7 +227,7 @@ def revealed(texts: DataFrame, finder, buckets: int, across: bool) -> DataFrame:
         mine = order[np.repeat(hit, sizes)]
         return sent_home(ids[mine], versions[mine], codes[mine], buckets)
 
-    return gathered(map_rows(texts, keyed, PACKED).groupBy("bucket").applyInArrow(again, PACKED))
+    return gathered(map_rows(texts, in_portions(keyed), PACKED).groupBy("bucket").applyInArrow(again, PACKED))
 
 
 def with_places(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:

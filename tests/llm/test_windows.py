@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from linkwise.llm import recompression as R
 from linkwise.llm import suffix_dedup as S
@@ -142,3 +143,49 @@ def test_kept_texts(make):
     assert kept[2] == "start end"
     raw = {r.id: r.kept for r in S.deduplicated(make(rows), keep_bytes=True).collect()}
     assert bytes(raw[2]) == b"start end"
+
+
+def test_frequent_grams_are_dealt_by_context(make, monkeypatch):
+    """No shard takes all stretches of a common gram, and what is found stays the same."""
+    rng = random.Random(8)
+    for name, value in (("SLICES", 4), ("SLICE", 60), ("GRAM_BYTES", 300), ("SORT_BYTES", 500)):
+        monkeypatch.setattr(S, name, value)
+    rows = [r for seed in (9, 10) for r in corpus(seed, size=40)]
+    lines = [f"{rng.choice('pq') * 30} common words {rng.choice('xyz') * 35}" for _ in range(60)]
+    rows += [(10**9 + i, f"{line} tail {line}") for i, line in enumerate(lines)]
+    docs = make(rows)
+    finder, texts, size = S.Anchors(), X.versioned(docs), sum(len(t) for _, t in rows)
+    frequent = S.frequent_grams(texts, finder, size)
+    assert len(frequent) and (np.diff(frequent.astype(object)) > 0).all()
+    found = X.with_places(texts, X.revealed(texts, finder, 4, across=True), "inner")
+    runs = [sorted(map(tuple, S.verified(found, finder, 4, hot).collect())) for hot in (np.zeros(0, np.uint64), frequent)]
+    assert runs[0] == runs[1] and runs[0]
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.deduplicated(docs).collect()}
+    assert got == plain_bytes(rows)
+
+
+def test_shards_are_sorted_in_chunks(monkeypatch):
+    """A shard of many grams is never sorted whole; the chunks find what the whole finds."""
+    rng = random.Random(11)
+    heads = [f"gram{i:04d}" for i in range(40)]
+    parts = [("<" + rng.choice(heads) + "-" * 40 + rng.choice("ab") + "=" * 5).encode() for _ in range(2000)]
+    parts += [p + b"!" for p in parts[::7]]
+    anchors, ids = np.ones(len(parts), np.uint16), np.arange(len(parts))[::-1].copy()
+    sizes, sort = [], S.suffix_array
+    monkeypatch.setattr(S, "suffix_array", lambda t, depth: sizes.append(len(t)) or sort(t, depth))
+    found = []
+    for most in (10**9, 600):
+        monkeypatch.setattr(S, "SORT_BYTES", most, raising=False)
+        sizes.clear()
+        found.append(sorted(zip(*[x.tolist() for x in S.shard_repeats(parts, anchors, ids)])))
+    assert found[0] == found[1] and found[0]
+    assert len(sizes) > 1 and max(sizes) < 1_000
+
+
+def test_batches_are_worked_on_in_portions(monkeypatch):
+    monkeypatch.setattr(X, "PORTION", 10, raising=False)
+    texts = ["", "abcd", "é" * 9, "", "a", "b" * 25, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    sizes = [[len(t.encode()) for t in p.column("text").to_pylist()] for p in X.portions(batch)]
+    assert sum(sizes, []) == [len(t.encode()) for t in texts]
+    assert len(sizes) > 2 and all(sum(s) - s[0] <= 10 for s in sizes)
